@@ -29,3 +29,19 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of what is left, in files; a row for each record read back."""
     return records.token_records(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    from tidemark.llm.minhash import near_duplicates
+
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of a benchmark item."""
+    from tidemark.llm.decontamination import contamination
+
+    hit = contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
