@@ -103,3 +103,24 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, starts[full], axis=0)
     return out
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    ended = pc.binary_join_element_wise(words, "\n", "")  # none is empty
+    ended = ended.combine_chunks() if isinstance(ended, pa.ChunkedArray) else ended
+    lengths = pc.binary_length(ended).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.frombuffer(ended.buffers()[1], np.int64 if pa.types.is_large_string(ended.type) else np.int32)[ended.offset]
+    data = np.frombuffer(ended.buffers()[2], np.uint8)[first : first + lengths.sum()].astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(starts, lengths).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (data + np.uint64(257) * place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+        total = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
+        total = (total ^ (total >> np.uint64(31))) * np.uint64(0xE7037ED1A0B428DB)
+    return total ^ (total >> np.uint64(33))
