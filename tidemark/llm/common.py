@@ -73,3 +73,14 @@ def bounded_sample(rows: DataFrame, stratum: str, bound: int, key: str = "doc_id
             share = F.when(F.col(stratum) == value, F.lit(min(1.0, bound / n))).otherwise(share)
     spot = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
     return rows.where(spot < share)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
+    """doc_id, text and label of about ``bound`` labelled documents of each class, 0 and 1.
+
+    The labels are thinned first: what is left is bounded, so it is broadcast and no text is shuffled. Other values and null
+    labels are left out; a document with several labels counts once for each.
+    """
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(column)).where(F.col(column).isin(0, 1))
+    few = bounded_sample(known, column, bound, "__id")
+    return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__id")).drop("__id")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, held_out, read
+from tidemark.llm.common import held_out, labelled_sample, read
 from tidemark.llm.words import Words, ngrams, slices, text_array
 
 #: Features: one bucket for each hashed word, then BINS one-hot bins for each statistic.
@@ -148,13 +148,12 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Machine:
     return Machine(float(w0), w, v, cuts)
 
 
-def train(labelled: DataFrame) -> Machine | None:
-    """Learn from doc_id, text, quality; rows with a null label are left out, a single class or none gives no model.
+def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
+    """Learn from doc_id, text of docs and doc_id, quality of labels; a single class or none gives no model.
 
     About TRAIN_DOCS documents of each class, chosen by a hash of doc_id, come to the driver.
     """
-    known = labelled.select("doc_id", "text", "quality").where(F.col("quality").isin(0, 1))
-    got = bounded_sample(known, "quality", TRAIN_DOCS).select("doc_id", "text", "quality").toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
+    got = labelled_sample(docs, labels, "quality", TRAIN_DOCS).toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
     labels = got.column("quality").to_numpy().astype(np.int64)
     if len(set(labels.tolist())) < 2:
         return None
@@ -184,13 +183,8 @@ def predict(docs: DataFrame, model: Machine | None, carry: tuple[str, ...] = ("d
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """doc_id, text and the label; a document with several labels counts once for each."""
-    return docs.select("doc_id", "text").join(labels.select(F.col("doc_id").alias("__id"), column), F.col("doc_id") == F.col("__id")).drop("__id")
-
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 3, 1)
-    model = train(labelled_rows(docs.where(~out), read(spark, sf_dir, "labels"), "quality"))
+    model = train(docs.where(~out), read(spark, sf_dir, "labels").where(~out))
     return predict(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")

@@ -13,7 +13,7 @@ from tidemark.llm.common import read
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier, fitted on all labelled ones among docs, rejects."""
-    model = judge.train(judge.labelled_rows(docs, read(spark, sf_dir, "labels"), "quality"))
+    model = judge.train(docs, read(spark, sf_dir, "labels"))
     return judge.predict(docs, model, tuple(docs.columns)).where("predicted = 1").select(docs.columns)
 
 
