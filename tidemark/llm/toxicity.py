@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, held_out, read
-from tidemark.llm.quality import labelled_rows
+from tidemark.llm.common import held_out, labelled_sample, read
 from tidemark.llm.words import Words, by_owner, ngrams, slices, sums, text_array
 
 SIZES = (3, 4, 5)
@@ -19,8 +18,10 @@ BUCKETS = 1 << 17
 DIM = 2
 #: Words of a passage; a document is as toxic as its worst passage.
 PASSAGE = 3
+#: Distinct words whose subwords are worked on at once.
+CHUNK = 1 << 15
 #: Labelled documents of each class used to fit, about.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2000
 STEPS, RATE = 25, 0.2
 #: Documents that a subword must be in to count, and the count at which its first log odds are halved.
 LEAST, SHRINK = 5, 5
@@ -41,8 +42,10 @@ class Passages:
 
     def __init__(self, texts: pa.Array):
         self.words = Words(texts)
-        owners, ids = ngrams(self.words.distinct, SIZES, BUCKETS, whole=True)
-        self.ids, self.id_starts = by_owner(owners, ids, len(self.words.distinct))
+        parts = [by_owner(*ngrams(words, SIZES, BUCKETS, whole=True), len(words)) for words in (self.words.distinct.slice(at, CHUNK) for at in range(0, len(self.words.distinct), CHUNK))]
+        self.ids = np.concatenate([ids.astype(np.int32) for ids, _ in parts]) if parts else np.zeros(0, np.int32)
+        self.id_starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in parts]))]) if parts else np.zeros(1, np.int64)
+        self.n_ids = np.maximum(1, np.diff(self.id_starts))
         per_text = -(-np.diff(self.words.starts) // PASSAGE)
         self.of_text = np.concatenate([[0], np.cumsum(per_text)])
         text = np.repeat(np.arange(len(per_text)), per_text)
@@ -52,7 +55,27 @@ class Passages:
 
     def vectors(self, e: np.ndarray) -> np.ndarray:
         """Mean subword vector of each distinct word."""
-        return sums(e[self.ids], self.id_starts) / np.maximum(1, np.diff(self.id_starts))[:, None]
+        out = np.zeros((len(self.id_starts) - 1, DIM))
+        for at in range(0, len(out), CHUNK):
+            own = self.id_starts[at : at + CHUNK + 1]
+            out[at : at + CHUNK] = sums(e[self.ids[own[0] : own[-1]]], own - own[0])
+        return out / self.n_ids[:, None]
+
+    def spread(self, per_word: np.ndarray) -> np.ndarray:
+        """Sum over the words of each subword."""
+        out = np.zeros((BUCKETS, per_word.shape[1]))
+        for at in range(0, len(per_word), CHUNK):
+            own = self.id_starts[at : at + CHUNK + 1]
+            ids, times = self.ids[own[0] : own[-1]], np.diff(own)
+            for k in range(per_word.shape[1]):
+                out[:, k] += np.bincount(ids, weights=np.repeat(per_word[at : at + CHUNK, k], times), minlength=BUCKETS)
+        return out
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Forget the subwords that aren't wanted; means are still over all of them."""
+        held = wanted[self.ids]
+        self.id_starts = np.concatenate([[0], np.cumsum(held)])[self.id_starts]
+        self.ids = self.ids[held]
 
     def means(self, vectors: np.ndarray) -> np.ndarray:
         return sums(vectors[self.words.codes], self.starts) / np.maximum(1, np.diff(self.starts))[:, None]
@@ -85,23 +108,23 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Bag:
     got = Passages(texts)
     rng = np.random.default_rng(seed)
     n_words = len(got.words.distinct)
-    word_of = np.repeat(np.arange(n_words), np.diff(got.id_starts))
     pairs = np.unique(got.words.text_of_word() * max(1, n_words) + got.words.codes)
     toxic = labels[pairs // max(1, n_words)] == 1
-    a, b = (np.bincount(got.ids, weights=np.bincount(pairs[x] % max(1, n_words), minlength=n_words)[word_of], minlength=BUCKETS) for x in (toxic, ~toxic))
+    counts = [np.bincount(pairs[x] % max(1, n_words), minlength=n_words) for x in (toxic, ~toxic)]
+    a, b = got.spread(np.stack(counts, axis=1).astype(np.float64)).T
+    del pairs, toxic, counts
     odds = np.log((a + 0.5) / (a.sum() + 1)) - np.log((b + 0.5) / (b.sum() + 1))
     known = a + b >= LEAST
     model = Bag(rng.normal(0, 0.05, (BUCKETS, DIM)), np.tile([-1.0, 1.0], (DIM, 1)) + rng.normal(0, 0.1, (DIM, 2)), np.array([1.0, -1.0]))
     model.e[:, 0] = odds * np.maximum(a, b) / (np.maximum(a, b) + SHRINK)
     model.e[~known] = 0
-    live = np.flatnonzero(known[got.ids])
+    got.keep(known)
     n = np.bincount(got.text, minlength=len(labels))
     y = labels[got.text].astype(np.float64)
     half = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     even = (half / np.maximum(1, n))[got.text]
     full = np.flatnonzero(n > 0)
     length = np.maximum(1, np.diff(got.starts))
-    n_ids = np.maximum(1, np.diff(got.id_starts))
     passage_of = np.repeat(np.arange(len(got.text)), np.diff(got.starts))
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (model.e, model.w, model.b)]
     for step in range(1, STEPS + 1):
@@ -117,9 +140,8 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Bag:
         err = (share - y) * np.where(y == 1, worst * half[got.text], 0.5 * worst * half[got.text] + 0.5 * even)
         dz = np.stack([-err, err], axis=1)
         per_word = (dz @ model.w.T / length[:, None])[passage_of]
-        dvec = np.stack([np.bincount(got.words.codes, weights=per_word[:, k], minlength=n_words) for k in range(DIM)], axis=1) / n_ids[:, None]
-        of_live = word_of[live]
-        de = np.stack([np.bincount(got.ids[live], weights=dvec[of_live, k], minlength=BUCKETS) for k in range(DIM)], axis=1)
+        dvec = np.stack([np.bincount(got.words.codes, weights=per_word[:, k], minlength=n_words) for k in range(DIM)], axis=1)
+        de = got.spread(dvec / got.n_ids[:, None])
         for x, g, m, rate in zip((model.e, model.w, model.b), (de, means.T @ dz, dz.sum(axis=0)), moments, (RATE / 5, RATE, RATE), strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g**2
@@ -127,13 +149,12 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Bag:
     return model
 
 
-def train(labelled: DataFrame) -> Bag | None:
-    """Learn from doc_id, text, toxic; rows with a null label are left out, a single class or none gives no model.
+def train(docs: DataFrame, labels: DataFrame) -> Bag | None:
+    """Learn from doc_id, text of docs and doc_id, toxic of labels; a single class or none gives no model.
 
     About TRAIN_DOCS documents of each class, chosen by a hash of doc_id, come to the driver.
     """
-    known = labelled.select("doc_id", "text", "toxic").where(F.col("toxic").isin(0, 1))
-    got = bounded_sample(known, "toxic", TRAIN_DOCS).select("doc_id", "text", "toxic").toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
+    got = labelled_sample(docs, labels, "toxic", TRAIN_DOCS).toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
     labels = got.column("toxic").to_numpy().astype(np.int64)
     if len(set(labels.tolist())) < 2:
         return None
@@ -162,5 +183,5 @@ def predict(docs: DataFrame, model: Bag | None) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
-    model = train(labelled_rows(docs.where(~out), read(spark, sf_dir, "labels"), "toxic"))
+    model = train(docs.where(~out), read(spark, sf_dir, "labels").where(~out))
     return predict(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
