@@ -1,0 +1,119 @@
+"""Derived variables: their order, what depends on what, and why one can't be used."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Mapping
+
+from tidemark.plans.expression import ExpressionError, Registry, UnknownFunctionError, check_calls, parse, referenced_names
+
+
+def dependency_order(derived: Mapping[str, str]) -> list[str]:
+    """Names with every one after those it reads; a cycle raises ExpressionError."""
+    out: list[str] = []
+    state: dict[str, int] = {}
+    for root in derived:
+        stack = [(root, iter(sorted(referenced_names(derived[root]) & derived.keys())))] if root not in state else []
+        if stack:
+            state[root] = 1
+        while stack:
+            name, below = stack[-1]
+            for inner in below:
+                if state.get(inner) == 1:
+                    raise ExpressionError(f"{inner} depends on itself")
+                if inner not in state:
+                    state[inner] = 1
+                    stack.append((inner, iter(sorted(referenced_names(derived[inner]) & derived.keys()))))
+                    break
+            else:
+                stack.pop()
+                state[name] = 2
+                out.append(name)
+    return out
+
+
+def needed(derived: Mapping[str, str], wanted: Iterable[str]) -> list[str]:
+    """The wanted derived names and all they need, in order."""
+    keep, open_ = set(), [w for w in wanted if w in derived]
+    while open_:
+        name = open_.pop()
+        if name not in keep:
+            keep.add(name)
+            open_ += [n for n in referenced_names(derived[name]) if n in derived]
+    return [n for n in dependency_order({k: derived[k] for k in derived if k in keep}) if n in keep]
+
+
+def dependents_of(name: str, derived: Mapping[str, str]) -> list[str]:
+    """Derived names that read ``name``, directly or not."""
+    found: list[str] = []
+    open_ = [name]
+    while open_:
+        current = open_.pop()
+        for other, text in derived.items():
+            if other not in found and other != name and current in referenced_names(text):
+                found.append(other)
+                open_.append(other)
+    return [n for n in dependency_order(derived) if n in found]
+
+
+def classify(derived: Mapping[str, str], columns: Iterable[str], time_column: str | None = None, aliases: Iterable[str] = (), registry: Registry | None = None) -> dict[str, str | None]:
+    """Why each derived variable can't be used (a code), or None.
+
+    alias_name, time_name, column_name: its own name is taken; syntax; unknown_function; call; missing_column; dependency:
+    something it reads can't be used.
+    """
+    columns, aliases = set(columns), set(aliases)
+    out: dict[str, str | None] = {}
+    for name, text in derived.items():
+        out[name] = None
+        if name in aliases:
+            out[name] = "alias_name"
+        elif name == time_column:
+            out[name] = "time_name"
+        elif name in columns:
+            out[name] = "column_name"
+        else:
+            try:
+                parse(text)
+                check_calls(text, registry or Registry())
+                if referenced_names(text) - columns - aliases - derived.keys() - {time_column}:
+                    out[name] = "missing_column"
+            except UnknownFunctionError:
+                out[name] = "unknown_function"
+            except ExpressionError as error:
+                out[name] = "call" if _parses(text) else "syntax"
+                del error
+    try:
+        dependency_order({k: v for k, v in derived.items() if out[k] is None})
+    except ExpressionError:
+        cyclic = {k for k in derived if out[k] is None and _reaches(k, derived)}
+        out |= dict.fromkeys(cyclic, "dependency")
+    changed = True
+    while changed:
+        changed = False
+        for name, text in derived.items():
+            if out[name] is None and any(out.get(n) for n in referenced_names(text) if n in derived):
+                out[name], changed = "dependency", True
+    return out
+
+
+def _parses(text: str) -> bool:
+    try:
+        parse(text)
+    except ExpressionError:
+        return False
+    return True
+
+
+def _reaches(name: str, derived: Mapping[str, str]) -> bool:
+    """Whether a name reads itself in the end."""
+    seen, open_ = set(), [name]
+    while open_:
+        try:
+            below = referenced_names(derived[open_.pop()]) & derived.keys()
+        except ExpressionError:
+            continue
+        if name in below:
+            return True
+        open_ += [b for b in below if b not in seen]
+        seen |= below
+    return False
