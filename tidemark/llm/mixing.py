@@ -19,9 +19,9 @@ CELLS = 4096
 GOLDEN = 2654435769
 
 
-def with_size(docs: DataFrame) -> DataFrame:
+def with_size(docs: DataFrame, name: str = "size") -> DataFrame:
     """docs and ``size``: words of the whole text, null 0."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(SPACE_WORDS)), F.lit(0)).cast("long"))
+    return docs.withColumn(name, F.coalesce(F.regexp_count("text", F.lit(SPACE_WORDS)), F.lit(0)).cast("long"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:

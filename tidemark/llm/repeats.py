@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
-from tidemark.llm.words import slices
+from tidemark.llm.words import run_starts, slices
 
 LENGTH = 50
 #: Bytes of packed grams, and units of stretches, that one part holds, about.
@@ -70,7 +70,7 @@ class Stretches:
 
     def ordinals(self) -> np.ndarray:
         """Number of each stretch within its document."""
-        new = np.flatnonzero(np.concatenate([[True], self.doc[1:] != self.doc[:-1]])) if len(self.doc) else np.zeros(0, np.int64)
+        new = run_starts(self.doc)
         return np.arange(len(self.doc)) - np.repeat(new, np.diff(np.append(new, len(self.doc))))
 
 
@@ -92,7 +92,7 @@ def stretches(units: np.ndarray, starts: np.ndarray, gram: int) -> Stretches:
     if not len(at):
         return Stretches(none, none, none, none.astype(np.uint64))
     a, d = anchor[at], owner[at]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]))
+    new = run_starts(a, d)
     return Stretches(d[new], at[new], np.diff(np.append(new, len(at))), h[a[new]])
 
 
@@ -100,9 +100,9 @@ def _shared_here(s: Stretches, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(stretches whose gram is in two documents of this slice, stretches to send): of a gram known to be shared one is sent."""
     order = np.lexsort((s.doc, s.h))
     h, doc = s.h[order], keys[s.doc[order]]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    new = run_starts(h)
     count = np.diff(np.append(new, len(h)))
-    shared = (np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)) if len(new) else np.zeros(0, bool)
+    shared = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
     every = np.repeat(shared, count)
     first = np.zeros(len(h), bool)
     first[new] = True
@@ -165,8 +165,7 @@ def _send_grams(units: Units, n_parts: int):
                 send = np.sort(send)
                 part = (s.h[send] % np.uint64(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(order) else []
-                for ids in np.split(send[order], cuts[1:]) if len(order) else []:
+                for ids in np.split(send[order], run_starts(part[order])[1:]) if len(order) else []:
                     blob = _pack_grams(s.h[ids], s.doc[ids], ordinal[ids], keys)
                     yield pa.RecordBatch.from_arrays([pa.array([int(s.h[ids[0]] % np.uint64(n_parts))]), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], ["part", "blob", "key", "ordinals"])
 
@@ -182,7 +181,7 @@ def _match_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, keys, ordinals = (np.concatenate(x) for x in zip(*map(_unpack_grams, blobs), strict=True))
         order = np.argsort(h, kind="stable")
         h, keys, ordinals = h[order], keys[order], ordinals[order]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        new = run_starts(h)
         shared = np.repeat(np.minimum.reduceat(keys, new) != np.maximum.reduceat(keys, new), np.diff(np.append(new, len(h))))
         own, lists = _by_key(keys[shared], ordinals[shared].astype(np.int32))
         for at in range(0, len(own), 4096):
@@ -240,8 +239,7 @@ def _send_stretches(units: Units, n_parts: int):
                 send = np.flatnonzero(~known)
                 part = (h[send] % np.uint64(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(order) else []
-                for k in np.split(send[order], cuts[1:]) if len(order) else []:
+                for k in np.split(send[order], run_starts(part[order])[1:]) if len(order) else []:
                     body = pa.concat_arrays([bodies.take(pa.array(k))]).buffers()[2].to_pybytes()[: int(n[k].sum()) * width]
                     blob = b"".join((np.array([len(k)], "<i8").tobytes(), ids[doc[k]].astype("<i8").tobytes(), keys[doc[k]].astype("<i8").tobytes(), place[k].astype("<u4").tobytes(), windows[k].astype("<u4").tobytes(), body))
                     yield pa.RecordBatch.from_arrays([pa.array([int(h[k[0]] % np.uint64(n_parts))]), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))], _SENT)

@@ -19,11 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole, rounded; a text without words stays out."""
-    taken = mixer.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "size", "taken").groupBy("__id", "__source", "size").agg(F.first("taken").alias("taken"))
-    sized = mixer.with_size(docs)
-    met = sized.join(taken.withColumnRenamed("size", "__size"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
-    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    return met.where(F.col("size") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
+    taken = mixer.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), F.col("taken").alias("__taken")).groupBy("__id", "__source", "__words").agg(F.first("__taken").alias("__taken"))
+    sized = mixer.with_size(docs, "__size")
+    met = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")))
+    copies = F.floor(F.col("__taken") / F.greatest("__size", F.lit(1)) + 0.5).cast("int")
+    return met.where(F.col("__size") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
 from tidemark.llm.repeats import LENGTH, Units, gram_hashes, merged, with_spans
-from tidemark.llm.words import Words, text_array, word_hashes
+from tidemark.llm.words import Words, run_starts, text_array, word_hashes
 
 GRAM = 10
 #: Words of an edge of the tree.
@@ -41,7 +41,7 @@ def deep_nodes(seq: np.ndarray, starts: np.ndarray, windows: np.ndarray, ids: np
         label = edge[at[live] + depth]
         order = np.lexsort((label, node))
         live, node, label = live[order], node[order], label[order]
-        new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (label[1:] != label[:-1])]))
+        new = run_starts(node, label)
         size = np.diff(np.append(new, len(live)))
         own = ids[which[live]]
         least, most = np.minimum.reduceat(own, new), np.maximum.reduceat(own, new)

@@ -31,6 +31,16 @@ def text_array(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column), "")
 
 
+def run_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of rows with equal keys begins; none of no rows."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    change = keys[0][1:] != keys[0][:-1]
+    for k in keys[1:]:
+        change = change | (k[1:] != k[:-1])
+    return np.flatnonzero(np.concatenate([[True], change]))
+
+
 class Words:
     """Words of a run of texts: ``codes`` into ``distinct``, and ``starts`` (n + 1) of each text."""
 
