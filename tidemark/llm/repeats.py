@@ -24,8 +24,8 @@ from tidemark.llm.words import run_starts, slices
 LENGTH = 50
 #: Bytes of packed grams, and units of stretches, that one part holds, about.
 GRAM_PART, STRETCH_PART = 12 << 20, 2 << 20
-#: A table of at most so many bytes is broadcast; beyond it is shuffled.
-BROADCAST_BYTES = 48 << 20
+#: Keys of copies (8 bytes each) up to which their list is broadcast; beyond it is shuffled.
+BROADCAST_KEYS = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -159,15 +159,15 @@ def _send_grams(units: Units, n_parts: int):
                 s = stretches(*units.split(piece.column("text")), units.gram)
                 ordinal = s.ordinals()
                 known, send = _shared_here(s, keys)
-                own, lists = _by_key(keys[s.doc[known]], ordinal[known].astype(np.int32))
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.abs(own % n_parts)), pa.nulls(len(own), pa.binary()), pa.array(own), lists], ["part", "blob", "key", "ordinals"])
+                if len(known):
+                    own = keys[s.doc[known]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.abs(own % n_parts)), pa.nulls(len(own), pa.binary()), pa.array(own), pa.array(ordinal[known], pa.int32())], ["part", "blob", "key", "ordinal"])
                 send = np.sort(send)
                 part = (s.h[send] % np.uint64(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 for ids in np.split(send[order], run_starts(part[order])[1:]) if len(order) else []:
                     blob = _pack_grams(s.h[ids], s.doc[ids], ordinal[ids], keys)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(s.h[ids[0]] % np.uint64(n_parts))]), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], ["part", "blob", "key", "ordinals"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(s.h[ids[0]] % np.uint64(n_parts))]), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], ["part", "blob", "key", "ordinal"])
 
     return run
 
@@ -175,7 +175,7 @@ def _send_grams(units: Units, n_parts: int):
 def _match_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for blobs, done in _parts(batches):
         for batch in done:
-            yield batch.select(["key", "ordinals"])
+            yield batch.select(["key", "ordinal"])
         if not blobs:
             continue
         h, keys, ordinals = (np.concatenate(x) for x in zip(*map(_unpack_grams, blobs), strict=True))
@@ -183,9 +183,9 @@ def _match_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, keys, ordinals = h[order], keys[order], ordinals[order]
         new = run_starts(h)
         shared = np.repeat(np.minimum.reduceat(keys, new) != np.maximum.reduceat(keys, new), np.diff(np.append(new, len(h))))
-        own, lists = _by_key(keys[shared], ordinals[shared].astype(np.int32))
-        for at in range(0, len(own), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 4096]), lists.slice(at, 4096)], ["key", "ordinals"])
+        at = np.flatnonzero(shared)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at[k : k + (1 << 16)]]), pa.array(ordinals[at[k : k + (1 << 16)]], pa.int32())], ["key", "ordinal"])
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,10 +280,6 @@ def _resolve(units: Units):
     return run
 
 
-def few(df: DataFrame, n_bytes: int) -> DataFrame:
-    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
-
-
 def repeated_spans(docs: DataFrame, units: Units) -> DataFrame:
     """doc_id, key, spans (start << 32 | end, in units, not merged), whole: the rows of docs that lose something.
 
@@ -293,19 +289,18 @@ def repeated_spans(docs: DataFrame, units: Units) -> DataFrame:
     rows = materialize(docs.select("doc_id", "key", F.md5("text").alias("h"), F.octet_length("text").cast("long").alias("n")).where("doc_id IS NOT NULL AND n IS NOT NULL"), "rows")
     classes = rows.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = materialize(rows.join(classes, ["h", "n"]).where("doc_id > least").select("doc_id", "key").distinct(), "copies")
-    n_copies = copies.count()
+    skipped = materialize(copies.select("key").distinct(), "skipped")
     total = rows.agg(F.sum("n")).first()[0] or 0
     part = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "key", "text")
-    part = part.join(few(copies, 64 * n_copies), ["doc_id", "key"], "left_anti")
+    part = part.join(F.broadcast(skipped) if skipped.count() <= BROADCAST_KEYS else skipped, "key", "left_anti")
     # packed grams: 9 bytes for each of about two in (LENGTH - gram + 2) units
     n_grams = max(1, -(-int(total / units.mean * 2 / (LENGTH - units.gram + 2) * 9) // GRAM_PART))
-    sent = part.select("key", "text").mapInArrow(_send_grams(units, n_grams), "part long, blob binary, key long, ordinals array<int>")
-    met = sent.repartition(n_grams, "part").sortWithinPartitions("part").mapInArrow(_match_grams, "key long, ordinals array<int>")
-    shared = materialize(met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("ordinals"))).alias("ordinals")), "shared")
-    held = shared.agg(F.count(F.lit(1)), F.sum(F.size("ordinals"))).first()
-    n_shared = held[1] or 0
+    sent = part.select("key", "text").mapInArrow(_send_grams(units, n_grams), "part long, blob binary, key long, ordinal int")
+    met = sent.repartition(n_grams, "part").sortWithinPartitions("part").mapInArrow(_match_grams, "key long, ordinal int")
+    shared = materialize(met.groupBy("key").agg(F.array_distinct(F.collect_list("ordinal")).alias("ordinals")), "shared")
+    n_shared = shared.agg(F.sum(F.size("ordinals"))).first()[0] or 0
     n_parts = max(1, -(-n_shared * (LENGTH + (LENGTH - units.gram + 2) // 2) // STRETCH_PART))
-    looked = part.join(few(shared.select("key"), 40 * held[0]), "key", "left_semi").join(few(shared, 4 * n_shared + 64 * held[0]), "key")
+    looked = part.join(shared, "key")
     sent = looked.select("doc_id", "key", "text", "ordinals").mapInArrow(_send_stretches(units, n_parts), "part long, blob binary, doc_id long, key long, spans array<long>")
     found = sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_resolve(units), "doc_id long, key long, spans array<long>")
     lost = found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.lit(False).alias("whole"))
@@ -316,8 +311,7 @@ def with_spans(docs: DataFrame, units: Units) -> DataFrame:
     """docs (doc_id and text, no more) with spans and whole: null where nothing is lost."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     lost = materialize(repeated_spans(keyed, units), "lost")
-    held = lost.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-    return keyed.join(few(lost, 8 * (held[1] or 0) + 80 * held[0]), ["doc_id", "key"], "left").select("doc_id", "text", "spans", "whole")
+    return keyed.join(lost, ["doc_id", "key"], "left").select("doc_id", "text", "spans", "whole")
 
 
 def merged(spans: list[int] | None) -> list[tuple[int, int]]:
