@@ -162,7 +162,7 @@ class Table:
         steps = np.diff(axis)
         if np.allclose(steps, steps[0], rtol=1e-9, atol=0):
             # evenly spaced: by arithmetic, then one step against the exact points
-            guess = F.greatest(F.lit(0), F.least(F.lit(n - 2), F.floor((v - float(axis[0])) / float(steps[0])).cast("int")))
+            guess = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(n - 2.0), (v - float(axis[0])) / float(steps[0])))).cast("int")
             points = self._literal(axis)
             k = F.when((guess > 0) & (v < F.element_at(points, guess + 1)), guess - 1).when((guess < n - 2) & (v >= F.element_at(points, guess + 2)), guess + 1).otherwise(guess)
         else:

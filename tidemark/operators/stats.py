@@ -20,7 +20,7 @@ ORDER_CHUNK, GAP_CHUNK = 2_000_000, 1_000_000
 def fine_bin(v: Column, lo: float, hi: float, bins: int) -> Column:
     """Number of the equal bin of [lo, hi]; half the scale keeps huge ranges finite."""
     scale = bins / (hi / 2 - lo / 2)
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v / 2 - lo / 2) * scale).cast("int")))
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(bins - 1.0), (v / 2 - lo / 2) * scale))).cast("int")
 
 
 def order_statistics(df: DataFrame, v: Column, ranks: Sequence[int], lo: float, hi: float) -> dict[int, float]:
@@ -188,4 +188,4 @@ def spectrum_of(series: Series, name: str) -> DataFrame:
         f, a = spectrum(pdf["_t"].to_numpy(), pdf["v"].to_numpy())
         return type(pdf)({"frequency": f, "amplitude": a})
 
-    return series.df.select("_row", "_t", F.col(f"`{name}`").alias("v")).groupBy(F.lit(0)).applyInPandas(run, "frequency double, amplitude double")
+    return series.df.select("_row", "_t", F.col(f"`{name}`").alias("v"), F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "frequency double, amplitude double")

@@ -69,8 +69,7 @@ def is_density(n_valid: int, limit: int = SCATTER_LIMIT) -> bool:
 def even_bin(v: Column, lo: float, hi: float, bins: int) -> Column:
     """Equal bins of [lo, hi]; the last is closed."""
     width = hi - lo
-    k = F.floor((v - lo) * bins / width).cast("int")
-    return F.greatest(F.lit(0), F.least(k, F.lit(bins - 1)))
+    return F.floor(F.greatest(F.lit(0.0), F.least((v - lo) * bins / width, F.lit(bins - 1.0)))).cast("int")
 
 
 def xy_density(series: Series, x: str, ys: Sequence[str], z: str | None = None, bins: int = DENSITY_BINS) -> DataFrame:
