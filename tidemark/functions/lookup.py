@@ -135,9 +135,16 @@ class Table:
     # columns
 
     def column(self, *at: Column) -> Column:
-        """The same as a column: the cell by binary search over literal edges, values from literal arrays; all in the JVM."""
+        """The same as a column: the cell by arithmetic or a tree of tests, values from literal arrays; all in the JVM."""
+        cells = []
+        for n, v in enumerate(at):
+            k = self.cell_index(n, v)
+            cells.append((k, self.cell_share(n, v, k)))
+        return self.value_in(cells, at)
+
+    def value_in(self, cells: Sequence[tuple[Column, Column]], at: Sequence[Column]) -> Column:
+        """The value from each axis's cell and share; these are used many times, so a plan computes them as columns first."""
         axes = [(at[0], self.x, self.outside[0])] + ([(at[1], self.y, self.outside[1])] if self.kind == "map" else [])
-        cells = [self._cell_column(v, axis, outside) for v, axis, outside in axes]
         if self.kind == "curve":
             out = self._curve_column(*cells[0])
         else:
@@ -154,22 +161,30 @@ class Table:
     def _literal(values: Sequence[float]) -> Column:
         return F.array(*(F.lit(float(v)) for v in values))
 
-    def _cell_column(self, v: Column, axis: Sequence[float], outside: str) -> tuple[Column, Column]:
-        n = len(axis)
+    def _on_axis(self, n: int, v: Column) -> tuple[Column, Sequence[float]]:
+        """(v with NaN moved onto the axis, and clamped to it unless it is extrapolated; the axis)."""
+        axis = self.x if n == 0 else self.y
         v = F.when(F.isnan(v), F.lit(float(axis[0]))).otherwise(v)
-        if outside != "linear":
+        if self.outside[n] != "linear":
             v = F.greatest(F.lit(float(axis[0])), F.least(F.lit(float(axis[-1])), v))
+        return v, axis
+
+    def cell_index(self, which: int, v: Column) -> Column:
+        """Cell of axis ``which``."""
+        v, axis = self._on_axis(which, v)
+        n = len(axis)
         steps = np.diff(axis)
         if np.allclose(steps, steps[0], rtol=1e-9, atol=0):
             # evenly spaced: by arithmetic, then one step against the exact points
             guess = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(n - 2.0), (v - float(axis[0])) / float(steps[0])))).cast("int")
             points = self._literal(axis)
-            k = F.when((guess > 0) & (v < F.element_at(points, guess + 1)), guess - 1).when((guess < n - 2) & (v >= F.element_at(points, guess + 2)), guess + 1).otherwise(guess)
-        else:
-            k = self._search(v, axis, 0, n - 2)
-        points = self._literal(axis)
-        lower, upper = F.element_at(points, k + 1), F.element_at(points, k + 2)
-        return k, (v - lower) / (upper - lower)
+            return F.when((guess > 0) & (v < F.element_at(points, guess + 1)), guess - 1).when((guess < n - 2) & (v >= F.element_at(points, guess + 2)), guess + 1).otherwise(guess)
+        return self._search(v, axis, 0, n - 2)
+
+    def cell_share(self, which: int, v: Column, k: Column) -> Column:
+        """Share of the way through cell k."""
+        v, axis = self._on_axis(which, v)
+        return (v - F.element_at(self._literal(axis), k + 1)) / F.element_at(self._literal(np.diff(axis)), k + 1)
 
     def _search(self, v: Column, axis: Sequence[float], lo: int, hi: int) -> Column:
         """The last k of [lo, hi] with axis[k] <= v, lo if none: a tree of comparisons."""

@@ -238,7 +238,8 @@ class Step:
     """A column to add before the expression itself; make gets the window of all rows in order."""
 
     name: str
-    make: Callable[[WindowSpec, int], Column]
+    make: Callable[[WindowSpec | None, int], Column]
+    ordered: bool = False
 
 
 @dataclass
@@ -323,7 +324,7 @@ class Compiler:
         args = [self._eval(a, scope, depth) for a in node.args]
         if kind == "table":
             table = self.registry.tables[name]
-            return self._apply(args, table.column, lambda *v: float(table(*v)))
+            return self._table(table, args)
         if kind == "function":
             if depth >= MAX_DEPTH:
                 raise ExpressionError("the chain of calls is too long")
@@ -339,6 +340,19 @@ class Compiler:
             return self._apply(args, BUILTINS[name].column, BUILTINS[name].number)
         return self._ordered(name, args)
 
+    def _step(self, column: Column) -> Column:
+        """A column of its own, so that what reads it many times doesn't repeat its expression."""
+        name = f"{self.prefix}{len(self.steps)}"
+        self.steps.append(Step(name, lambda window, rows: column))
+        return F.col(name)
+
+    def _table(self, table: object, args: list[Value]) -> Value:
+        if all(a.column is None for a in args):
+            return Value(float(table(*(a.number for a in args))))
+        at = [self._step(a.col()) for a in args]
+        cells = [(k := self._step(table.cell_index(n, v)), self._step(table.cell_share(n, v, k))) for n, v in enumerate(at)]
+        return Value(column=self._step(table.value_in(cells, at)), before=max(a.before for a in args), after=max(a.after for a in args))
+
     def _ordered(self, name: str, args: list[Value]) -> Value:
         x = args[0]
         if name == "delta":
@@ -354,7 +368,7 @@ class Compiler:
         own, out = (f"{self.prefix}{len(self.steps) + k}" for k in (0, 1))
         source = x.column
         self.steps.append(Step(own, lambda window, rows: source))
-        self.steps.append(Step(out, lambda window, rows: _ordered_column(name, F.col(own), size, window, rows)))
+        self.steps.append(Step(out, lambda window, rows: _ordered_column(name, F.col(own), size, window, rows), True))
         return Value(column=F.col(out), before=x.before + before, after=x.after + after)
 
 

@@ -27,11 +27,14 @@ def add_columns(df: DataFrame, wanted: dict[str, Compiled], n_rows: int, block_r
     before, after = (max((c.margin[k] for c in wanted.values()), default=0) for k in (0, 1))
     steps = [s for c in wanted.values() for s in c.steps]
     columns = df.columns
-    if steps:
+    ordered = any(s.ordered for s in steps)
+    window = None
+    if ordered:
         df, rows = with_halo(df, before, after, block_rows)
         window = Window.partitionBy("__blk").orderBy("_row")
-        for step in steps:
-            df = df.withColumn(step.name, step.make(window, n_rows))
+    for step in steps:
+        df = df.withColumn(step.name, step.make(window, n_rows))
+    if ordered:
         df = df.where(F.col("__blk") == F.floor(F.col("_row") / rows))
     kept = [F.col(f"`{c}`") for c in columns if c not in wanted]
     return df.select(*kept, *(c.value.col().cast("double").alias(name) for name, c in wanted.items()))

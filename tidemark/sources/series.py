@@ -99,7 +99,7 @@ class Series:
         for k, name in enumerate(dependency_order(derived)):
             variables = {s: F.col(f"`{s}`") for s in out.signals} | {self.time_column: F.col("_t")}
             compiled = Compiler(variables, registry, f"__e{k}_").compile(derived[name])
-            if compiled.steps and n_rows is None:
+            if n_rows is None and any(s.ordered for s in compiled.steps):
                 n_rows = self.source.count()
             df = add_columns(out.df, {name: compiled}, n_rows or 0, block_rows)
             out = replace(out, df=df, signals=(*out.signals, name))
