@@ -87,3 +87,14 @@ def remove_repeated_words(docs: DataFrame) -> DataFrame:
 
 def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {LENGTH - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h),
+c AS (SELECT DISTINCT doc_id, p FROM (SELECT s.doc_id, unnest(range(i, i + {LENGTH})) AS p FROM s JOIN f ON s.h = f.h WHERE least < s.doc_id)),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM u ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
