@@ -86,14 +86,18 @@ def stretches(units: np.ndarray, starts: np.ndarray, gram: int) -> Stretches:
         m, size = np.minimum(m[: len(m) - size], m[size:]), size * 2
     if size < span:
         m = np.minimum(m[: len(m) - (span - size)], m[span - size :])
-    anchor = (m[:n] & _LOW).astype(np.int64)
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:n]
-    at = np.flatnonzero(np.arange(n) + LENGTH <= starts[owner + 1])
-    if not len(at):
+    # 32 bits are enough for places in a slice, and halve its memory
+    anchor = (m[:n] & _LOW).astype(np.uint32)
+    del m
+    counts = np.maximum(0, np.diff(starts) - LENGTH + 1)
+    if not counts.sum():
         return Stretches(none, none, none, none.astype(np.uint64))
-    a, d = anchor[at], owner[at]
+    d = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
+    at = np.arange(len(d), dtype=np.uint32) + np.repeat((starts[:-1] - (np.cumsum(counts) - counts)).astype(np.uint32), counts)
+    a = anchor[at]
+    del anchor
     new = run_starts(a, d)
-    return Stretches(d[new], at[new], np.diff(np.append(new, len(at))), h[a[new]])
+    return Stretches(d[new].astype(np.int64), at[new].astype(np.int64), np.diff(np.append(new, len(at))), h[a[new]])
 
 
 def _shared_here(s: Stretches, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
