@@ -18,7 +18,7 @@ WORD_BUCKETS = 1 << 13
 BINS = 12
 RANK = 6
 #: Labelled documents of each class used to fit, about.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 2000
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.08, 1e-5
 THRESHOLD = 0.5
 #: Weight of the word part against the statistics: a text's word counts are scaled to this Euclidean length.
