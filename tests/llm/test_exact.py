@@ -111,6 +111,20 @@ def test_token_records(docs, empty, small, spark, tmp_path):
     assert records.token_records(empty).count() == 0
 
 
+def test_capitals_before_combining_marks(spark):
+    """Of these letters only the small one has a composed form, so lower case comes after composing; a special token near by changes nothing."""
+    from tokenizers import Tokenizer
+
+    pairs = [a + b for a, b in zip("HJTWY", "\u0331\u030c\u0308\u030a\u030a", strict=True)]
+    texts = [f"{p}ab X{p}, {p.lower()}ab PLAIN Plain plain." for p in pairs]
+    texts += [texts[0] + " Some<|endoftext|> <|ENDOFTEXT|>", "\u0391\u03a3 \u0130A E\u0301T\u00c9"]
+    tokenizer = Tokenizer.from_file(records.default_vocabulary())
+    for cut in (len(pairs), len(texts)):
+        rows = list(enumerate(texts[:cut]))
+        frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert got(records.token_records(frame)) == want(brute.tokens(rows, tokenizer))
+
+
 def test_token_files(small, spark, tmp_path, monkeypatch):
     """Records by their index, and a broken byte is noticed."""
     monkeypatch.setattr(records, "RANGE_DOCS", 50)

@@ -76,6 +76,18 @@ def _pieces(word: str) -> tuple[str, str]:
     return (body, word[len(body) :]) if body and body[-1] < "\u0250" and body[-1].isalpha() else (word, "")
 
 
+def _plain(words: pa.Array) -> pa.Array:
+    """The words, A-Z in lower case where that changes no id: in words below U+0300 that spell no special token.
+
+    Nothing is composed below U+0300. Other words keep their case, as the vocabulary composes characters before it lowers
+    them: J and U+030C stay two, j and U+030C become one.
+    """
+    import pyarrow.compute as pc
+
+    kept = pc.match_substring_regex(words, r"<\||[^\x{0}-\x{2FF}]")
+    return pc.if_else(kept, words, pc.ascii_lower(words))
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, starts of each, n + 1), END_ID after each text.
 
@@ -84,11 +96,10 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """
     import pyarrow.compute as pc
 
-    # upper case and lower case of ASCII have the same ids, unless a special token's string is spelt out
-    special = pc.any(pc.match_substring(texts, "<|")).as_py()
-    lists = pc.ascii_split_whitespace(texts if special else pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(texts)
     flat, counts = pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = flat.dictionary_encode()
+    written = flat.dictionary_encode()
+    coded = _plain(written.dictionary).dictionary_encode()
     known, tokenizer = _memory(path), _tokenizer(path)
     if len(known) > REMEMBERED:
         known.clear()
@@ -103,7 +114,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     pool_starts = np.concatenate([[0], np.cumsum(lengths)])
     n = len(counts)
     # the end id stands as one more word behind each text
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[written.indices.to_numpy(zero_copy_only=False)]
     codes = np.insert(codes, np.cumsum(counts), len(distinct))
     lengths = np.append(lengths, 1)
     per_word = lengths[codes]
