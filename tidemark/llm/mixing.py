@@ -84,7 +84,7 @@ def shuffled(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs.
+    """doc_id, size, source_size, target, taken, and source and __key (a hash of the text), for every row of docs.
 
     Blocks are BLOCK words of a source's stream of shuffled documents. The source's slot of rank r takes block r, beginning
     again when all are taken, at most twice; the number of slots is the sum of targets in blocks. Empty and null texts have
@@ -113,7 +113,7 @@ def mix(docs: DataFrame) -> DataFrame:
     # words before a document never repeat in its source unless its size is 0
     taken = spans.join(times, ["no", "block"]).groupBy("no", "at").agg(F.sum(overlap * F.col("times")).alias("taken"))
     found = laid.join(taken, ["no", "at"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    return found.join(plan.select("no", "source_size", "target"), "no").select("doc_id", "size", "source_size", "target", "taken", "source")
+    return found.join(plan.select("no", "source_size", "target"), "no").select("doc_id", "size", "source_size", "target", "taken", "source", "__key")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

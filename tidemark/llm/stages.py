@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing as mixer
 from tidemark.llm import quality as judge
 from tidemark.llm import records
-from tidemark.llm.common import read
+from tidemark.llm.common import SPACE_WORDS, materialize, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, rounded; a text without words stays out."""
-    taken = mixer.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), F.col("taken").alias("__taken")).groupBy("__id", "__source", "__words").agg(F.first("__taken").alias("__taken"))
-    sized = mixer.with_size(docs, "__size")
-    met = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")))
-    copies = F.floor(F.col("__taken") / F.greatest("__size", F.lit(1)) + 0.5).cast("int")
-    return met.where(F.col("__size") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
+    """Each row as often as the mix takes it whole, rounded; a text without words stays out.
+
+    A row is known by doc_id, source and text, null or not. Rows that agree in all three share their copies as evenly as can be.
+    """
+    row = lambda key: F.struct("doc_id", "source", key)
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)
+    taken = mixer.mix(docs).where("size > 0").groupBy(row("__key").alias("__row")).agg(F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    met = docs.withColumn("__row", row(F.xxhash64("text"))).join(taken, "__row")
+    nth = met.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns))))
+    share = F.expr("int((__nth * __copies) div __rows - ((__nth - 1) * __copies) div __rows)")
+    return nth.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), share))).select(docs.columns)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +37,20 @@ def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps the document with the smallest id of each group of near duplicates.
+
+    Rows of one id are one document. Rows without words and rows with a null id are kept, whatever else has their id.
+    """
     from tidemark.llm.minhash import near_duplicates
 
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    worded = F.coalesce(F.col("text").rlike(SPACE_WORDS), F.lit(False))
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & worded, "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
-    from tidemark.llm.decontamination import contamination
+    """Drops the rows that hold a window of a benchmark item; a row is known by doc_id, null or not, and text."""
+    from tidemark.llm.decontamination import phrase_matches, windows_of
 
-    hit = contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    hit = materialize(phrase_matches(docs, windows_of(read(spark, sf_dir, "benchmark"))).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__hit")), "hits")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hit")), "left_anti")
