@@ -60,13 +60,18 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.pmod(id_crc(doc_id), F.lit(mod)) == rest, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, stratum: str, bound: int, key: str = "doc_id") -> DataFrame:
+def stratum_counts(rows: DataFrame, stratum: str) -> dict:
+    """Rows of each stratum."""
+    return {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}
+
+
+def bounded_sample(rows: DataFrame, stratum: str, bound: int, key: str = "doc_id", counts: dict | None = None) -> DataFrame:
     """Rows of each stratum whose hashed key falls below bound / (rows of the stratum): about ``bound`` rows of each.
 
     A count per stratum decides the share, a row's own hash decides whether it is in; nothing is sorted or shuffled.
-    Strata must be few (classes, languages): their counts come to the driver.
+    Strata must be few (classes, languages): their counts come to the driver, unless they are given.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}
+    counts = stratum_counts(rows, stratum) if counts is None else counts
     share = F.lit(0.0)
     for value, n in counts.items():
         if value is not None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, held_out, read
+from tidemark.llm.common import bounded_sample, held_out, read, stratum_counts
 from tidemark.llm.words import Words, ngrams, slices, sums, text_array
 
 SIZES = (1, 2, 3, 4)
@@ -52,20 +52,22 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame) -> LangModel | None:
     """Learn from text and lang; null languages are left out, none at all gives no model.
 
-    About TRAIN_DOCS documents of each language are used, chosen by a hash of doc_id. Counts are added up in Spark; what
-    comes to the driver is at most one number for each bucket and language.
+    N-grams are counted in about TRAIN_DOCS documents of each language, chosen by a hash of doc_id; priors are the shares of
+    the languages among all labelled documents. Counts are added up in Spark; what comes to the driver is at most one number
+    for each bucket and language.
     """
     known = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
-    sample = bounded_sample(known, "lang", TRAIN_DOCS)
+    of_lang = stratum_counts(known, "lang")
+    sample = bounded_sample(known, "lang", TRAIN_DOCS, counts=of_lang)
     counts = sample.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if not len(counts):
         return None
     langs = sorted(counts["lang"].unique())
-    table, docs = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
+    table, docs = np.zeros((BUCKETS, len(langs))), np.array([of_lang[lang] for lang in langs], float)
     for j, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
         at, n = own["bucket"].to_numpy(), own["n"].to_numpy()
-        table[at[at >= 0], j], docs[j] = n[at >= 0], n[at < 0].sum()
+        table[at[at >= 0], j] = n[at >= 0]
     table += SMOOTHING
     return LangModel(langs, np.log(table / table.sum(axis=0)), np.log(docs / docs.sum()))
 
