@@ -193,14 +193,18 @@ def test_lttb():
     px, py = lttb(x, y, 30)
     assert len(px) == 30 and px[0] == 0 and px[-1] == 299 and set(px) <= set(x) and np.isfinite(py).all()
     assert lttb(x, y, 400)[0] is x
-    with pytest.raises(ValueError):
-        lttb(x, y, 2)
+    assert len(lttb(x, y, 2)[0]) == 3
+    gap = np.where((x >= 100) & (x < 200), np.nan, y)
+    assert np.isfinite(lttb(x, gap, 8)[0]).all()
 
 
 def test_helpers():
     assert normalize(np.array([1.0, 3.0]), 1, 5).tolist() == [0.0, 0.5] and normalize(np.array([1.0]), 2, 2).tolist() == [0.5]
     assert nice_ticks(0, 10) == [0, 2, 4, 6, 8, 10]
     assert format_rate(1234.5) == "1.23 kHz" and format_interval(0.01) == "10 ms"
+    assert [format_interval(t) for t in (120, 59.99, 0.9999, 1.5, 6000, 3e-12, 0, -1, math.nan)] == ["2 min", "1 min", "1 s", "1.5 s", "100 min", "0.003 ns", "\u2014", "\u2014", "\u2014"]
+    assert [format_rate(f) for f in (999.6, 5e9, 0.25, 0)] == ["1 kHz", "5000 MHz", "0.25 Hz", "\u2014"]
+    assert nice_ticks(math.nan, 1) and normalize(np.zeros(2), 0, math.inf).tolist() == [0.5, 0.5]
     cube = np.array([[0, 0, 0], [1, 1, 1.0]])
     assert pick_nearest(project(cube, 30, 20), tuple(project(cube, 30, 20)[1]), 0.1) == 1 and pick_nearest(project(cube, 0, 0), (9, 9), 0.1) is None
 

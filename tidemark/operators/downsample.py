@@ -19,11 +19,9 @@ def lttb(x: np.ndarray, y: np.ndarray, n_out: int) -> tuple[np.ndarray, np.ndarr
     """Largest-triangle-three-buckets: first, last and one point of each of n_out - 2 even buckets.
 
     A bucket's point makes the largest triangle with the one before and the mean of the next bucket; values that aren't finite
-    never win over finite ones.
+    never win over finite ones; a next bucket without any stands at the point before. Fewer than three points are never kept.
     """
-    n = len(x)
-    if n_out < 3:
-        raise ValueError("at least three points are kept")
+    n, n_out = len(x), max(3, n_out)
     if n <= n_out:
         return x, y
     cuts = np.linspace(1, n - 1, n_out - 1).astype(np.int64)
@@ -34,10 +32,10 @@ def lttb(x: np.ndarray, y: np.ndarray, n_out: int) -> tuple[np.ndarray, np.ndarr
         a, b = cuts[k], cuts[k + 1]
         c, d = (b, cuts[k + 2]) if k < n_out - 3 else (n - 1, n)
         held = cn[d] - cn[c]
-        mx, my = ((cx[d] - cx[c]) / held, (cy[d] - cy[c]) / held) if held else (x[c], 0.0)
         px, py = x[picked[-1]], y[picked[-1]]
         if not (math.isfinite(px) and math.isfinite(py)):
             px, py = x[a], 0.0
+        mx, my = ((cx[d] - cx[c]) / held, (cy[d] - cy[c]) / held) if held else (px, py)
         area = np.abs((px - mx) * (y[a:b] - py) - (px - x[a:b]) * (my - py))
         area[~np.isfinite(area)] = -1.0
         picked.append(a + int(area.argmax()))
@@ -75,16 +73,17 @@ def overview(series: Series, name: str, n_out: int, bucket_rows: int = 8192) ->
 
 def normalize(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
     """[lo, hi] to [0, 1]; 0.5 for no width."""
-    return np.full(len(v), 0.5) if hi <= lo else (v - lo) / (hi - lo)
+    return (v - lo) / (hi - lo) if math.isfinite(hi - lo) and hi > lo else np.full(len(v), 0.5)
 
 
 def nice_ticks(lo: float, hi: float, target: int = 5) -> list[float]:
     from tidemark.operators.grid import nice_step
 
-    if not hi > lo:
+    if not (math.isfinite(lo) and math.isfinite(hi) and hi > lo):
         return [lo]
     step = nice_step(hi - lo, target)
-    return [k * step for k in range(math.ceil(lo / step - 1e-9), math.floor(hi / step + 1e-9) + 1)]
+    inner = np.arange(np.ceil(lo / step - 1e-9), np.floor(hi / step + 1e-9) + 1)
+    return (inner * step).tolist()
 
 
 def project(points: np.ndarray, azimuth: float, elevation: float) -> np.ndarray:
@@ -101,20 +100,23 @@ def pick_nearest(screen: np.ndarray, at: tuple[float, float], radius: float) ->
     return int(d.argmin()) if len(d) and d.min() <= radius**2 else None
 
 
-_PREFIXES = ((1e9, "G"), (1e6, "M"), (1e3, "k"), (1.0, ""), (1e-3, "m"), (1e-6, "µ"), (1e-9, "n"))
+#: Units of steps and rates with their sizes.
+_STEPS = {"ns": 1e-9, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "min": 60.0}
+_RATES = {"Hz": 1.0, "kHz": 1e3, "MHz": 1e6}
 
 
-def si(value: float, unit: str) -> str:
-    """Three significant digits with an SI prefix."""
-    if not math.isfinite(value) or value == 0:
-        return f"{value:g} {unit}"
-    scale, prefix = next(((s, p) for s, p in _PREFIXES if abs(value) >= s * 0.9995), _PREFIXES[-1])
-    return f"{value / scale:.3g} {prefix}{unit}"
+def scaled(value: float, units: dict[str, float]) -> str:
+    """Three significant digits in the largest unit that the value, once rounded so, fills; a dash for none or nothing."""
+    if not (math.isfinite(value) and value > 0):
+        return "\u2014"
+    whole = float(f"{value:.3g}")
+    unit = max((u for u in units if units[u] <= whole * (1 + 1e-12)), key=units.get, default=min(units, key=units.get))
+    return f"{float(f'{value / units[unit]:.3g}'):g} {unit}"
 
 
 def format_rate(hz: float) -> str:
-    return si(hz, "Hz")
+    return scaled(hz, _RATES)
 
 
 def format_interval(seconds: float) -> str:
-    return si(seconds, "s")
+    return scaled(seconds, _STEPS)

@@ -58,6 +58,28 @@ def exact_median(df: DataFrame, v: Column, n: int, lo: float, hi: float) -> floa
     return got[(n - 1) // 2] / 2 + got[n // 2] / 2 if (n % 2 == 0) else got[n // 2]
 
 
+def grouped_medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, value (the exact median of v), n of rows with finite v; keys must be few (cells of a grid).
+
+    Values are counted in FINE_BINS bins of each group's own range; only the bins that hold the middle ranks are looked into,
+    and equal values there are counted together, so no task ever holds the values of a group.
+    """
+    spans = rows.groupBy(*keys).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.count(F.lit(1)).alias("n"))
+    share = (F.col("v") / 2 - F.col("__lo") / 2) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") / 2 - F.col("__lo") / 2).otherwise(F.lit(1.0))
+    binned = rows.join(F.broadcast(spans), keys).withColumn("__bin", F.floor(F.least(F.lit(FINE_BINS - 1.0), share * FINE_BINS)).cast("int"))
+    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__in"), F.first("n").alias("n"))
+    up = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = lambda c: [F.floor((F.col(c) - 1) / 2), F.floor(F.col(c) / 2)]
+    before = F.col("__upto") - F.col("__in")
+    holds = [(before <= r) & (F.col("__upto") > r) for r in ranks("n")]
+    middle = counts.withColumn("__upto", F.sum("__in").over(up)).where(holds[0] | holds[1]).select(*keys, "__bin", before.alias("__before"))
+    tied = binned.join(F.broadcast(middle), [*keys, "__bin"]).groupBy(*keys, "__bin", "v").agg(F.count(F.lit(1)).alias("__in"), F.first("__before").alias("__before"), F.first("n").alias("n"))
+    inner = Window.partitionBy(*keys, "__bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = tied.withColumn("__upto", F.col("__before") + F.sum("__in").over(inner))
+    low, high = [F.max(F.when((before <= r) & (F.col("__upto") > r), F.col("v"))) for r in ranks("n")]
+    return placed.groupBy(*keys).agg((low / 2 + high / 2).alias("value"), F.first("n").alias("n"))
+
+
 def _moments(name: str) -> list[Column]:
     c = F.col(f"`{name}`")
     v = F.when(finite(c), c)
@@ -147,11 +169,13 @@ def sampling_report(series: Series) -> DataFrame:
     """
     rows = _blocked_previous(series.df.select("_row", "_t"), F.lit(True))
     d = rows.select((F.col("_t") - F.col("__prev._t")).alias("d"), finite(F.col("_t")).alias("valid"))
-    total = d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("valid")).alias("bad"), F.percentile("d", F.lit(0.5)).alias("dt_median"), F.min("d").alias("dt_min"), F.max("d").alias("dt_max"))
-    gaps = d.where(F.col("d").isNotNull()).join(total.select("dt_median"), F.lit(True)).agg(F.count_if(F.col("d") > 1.5 * F.col("dt_median")).alias("n_gaps"))
+    ok = finite(F.col("d"))
+    known = d.agg(F.count_if(ok).alias("n"), F.min(F.when(ok, F.col("d"))).alias("lo"), F.max(F.when(ok, F.col("d"))).alias("hi")).first()
+    middle = exact_median(d, F.col("d"), known["n"], known["lo"], known["hi"]) if known["n"] else None
+    total = d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("valid")).alias("bad"), F.min("d").alias("dt_min"), F.max("d").alias("dt_max"), F.count_if(F.col("d") > F.lit(1.5) * F.lit(middle)).alias("n_gaps")).withColumn("dt_median", F.lit(middle).cast("double"))
     deviation = F.greatest(F.col("dt_max") - F.col("dt_median"), F.col("dt_median") - F.col("dt_min")) / F.when(F.col("dt_median") != 0, F.col("dt_median"))
     reason = F.when(F.col("n_rows") < 3, "too_few").when(F.col("bad") > 0, "not_finite").when(F.col("dt_min") <= 0, "not_ascending").when((deviation > 0.01) | (F.col("n_gaps") > 0), "non_uniform").otherwise("ok")
-    return total.join(gaps, F.lit(True)).select("n_rows", "dt_median", "dt_min", "dt_max", deviation.alias("max_deviation"), "n_gaps", reason.alias("reason"))
+    return total.select("n_rows", "dt_median", "dt_min", "dt_max", deviation.alias("max_deviation"), "n_gaps", reason.alias("reason"))
 
 
 def envelope(series: Series, name: str, bucket_rows: int = 8192) -> DataFrame:

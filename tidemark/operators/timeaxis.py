@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from datetime import UTC, date, datetime, timedelta
+from datetime import date, datetime, timedelta
+from itertools import count, islice
 from zoneinfo import ZoneInfo
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import finite
-from tidemark.operators.stats import GAP_CHUNK, _blocked_previous
+from tidemark.operators.stats import GAP_CHUNK
 from tidemark.sources.series import Series
 
 DAY = 86_400
 MAX_BUCKETS = 1_000_000
 EPOCH_DAY = date(1970, 1, 1)
+#: The weekday of day 0, Monday 0.
+EPOCH_WEEKDAY = EPOCH_DAY.weekday()
+#: Rows of a block in which neighbours are found by a window; what crosses a block's end is one row for each block.
+HALO_ROWS = 1 << 18
 
 
 class HistogramError(ValueError):
@@ -72,8 +78,26 @@ class Zone:
         local = datetime.fromtimestamp(t, ZoneInfo(self.name))
         return local.date(), local.hour * 3600 + local.minute * 60 + local.second + local.microsecond / 1e6
 
-    def offset(self, t: float) -> float:
-        return 0.0 if self.uniform else datetime.fromtimestamp(t, ZoneInfo(self.name)).utcoffset().total_seconds()
+    def spells(self, t0: float, t1: float) -> list[tuple[float, float, float]]:
+        """(start, end, seconds ahead of UTC) of the stretches of [t0, t1] between the zone's own changes of offset."""
+        if self.uniform:
+            return [(t0, t1, 0.0)]
+        instant = SparkSession.active()._jvm.java.time.Instant
+        rules = SparkSession.active()._jvm.java.time.ZoneId.of(self.name).getRules()
+        out, at = [], t0
+        ahead = rules.getOffset(instant.ofEpochSecond(math.floor(t0))).getTotalSeconds()
+        change = rules.nextTransition(instant.ofEpochSecond(math.floor(t0)))
+        while change is not None and (when := change.getInstant().getEpochSecond()) < t1:
+            out.append((at, float(when), float(ahead)))
+            at, ahead = float(when), change.getOffsetAfter().getTotalSeconds()
+            change = rules.nextTransition(change.getInstant())
+        return [*out, (at, t1, float(ahead))]
+
+    def days(self, t: float, second: float) -> Iterator[float]:
+        """Beginnings, at ``second`` of the wall clock, of the local day that holds t and of every day after it."""
+        around = (self.wall(t)[0] + timedelta(days=k) for k in (1, 0, -1, -2))
+        day = next(d for d in around if self.stamp(d, second) <= t)
+        return (self.stamp(day + timedelta(days=k), second) for k in count())
 
 
 def bucket_edges(t0: float, t1: float, length: float, origin: float, zone: Zone) -> list[float]:
@@ -83,23 +107,19 @@ def bucket_edges(t0: float, t1: float, length: float, origin: float, zone: Zone)
     calendar days.
     """
     validate_bucket(length)
-    per_day, step = (max(1, round(DAY / length)), 1) if length <= DAY else (1, round(length / DAY))
-    estimate = (max(0.0, t1 - t0) / DAY + 2) * per_day / step
-    if estimate > MAX_BUCKETS:
-        raise HistogramError("too_many_buckets", estimate=estimate)
-    day, second = zone.wall(t0)
-    if second < origin:
-        day -= timedelta(days=1)
-    if zone.stamp(day, origin) > t0:
-        day -= timedelta(days=1)
-    edges: list[float] = []
-    while True:
-        start, day = zone.stamp(day, origin), day + timedelta(days=step)
-        end = zone.stamp(day, origin)
-        n = max(1, math.ceil((end - start) / length - 1e-9)) if length < DAY else 1
-        edges += [start + k * length for k in range(n)]
+    expected = (max(0.0, t1 - t0) + 2 * DAY) / length
+    if expected > MAX_BUCKETS:
+        raise HistogramError("too_many_buckets", estimate=expected)
+    every = islice(zone.days(t0, origin), 0, None, max(1, round(length / DAY)))
+    edges = [next(every)]
+    for end in every:
+        if length < DAY:
+            begun = edges[-1]
+            tiles = begun + length * np.arange(1, math.ceil(DAY / length) * 2)
+            edges += tiles[tiles < end - 1e-9 * length].tolist()
+        edges.append(end)
         if end > t1:
-            return [*edges, end]
+            return edges
 
 
 @dataclass(frozen=True)
@@ -117,47 +137,20 @@ def target_intervals(wanted: TimeFilter, t0: float, t1: float, zone: Zone) -> li
     if wanted.weekdays is not None and not wanted.weekdays:
         raise HistogramError("no_weekdays")
     length = (wanted.end - wanted.start) % DAY or DAY
-    day, last = zone.wall(t0)[0] - timedelta(days=2), zone.wall(t1)[0] + timedelta(days=1)
     found = []
-    while day <= last:
-        if zone.name is None or wanted.weekdays is None or day.weekday() in wanted.weekdays:
-            found += _wall_interval(day, wanted.start, wanted.start + length, zone)
-        day += timedelta(days=1)
-    merged: list[tuple[float, float]] = []
-    for a, b in sorted((max(a, t0), min(b, t1)) for a, b in found):
-        if b <= a:
-            continue
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(merged[-1][1], b))
-        else:
-            merged.append((a, b))
-    return merged
-
-
-def _wall_interval(day: date, a: float, b: float, zone: Zone) -> list[tuple[float, float]]:
-    """Real intervals whose wall clock is in [day + a, day + b): wall times that don't exist drop out, doubled ones count twice."""
-    if zone.uniform:
-        return [(zone.stamp(day, a), zone.stamp(day, b))]
-    wall_a, wall_b = (datetime(day.year, day.month, day.day, tzinfo=UTC) + timedelta(seconds=s) for s in (a, b))
-    lo, hi = wall_a.timestamp() - 16 * 3600, wall_b.timestamp() + 16 * 3600
-    cuts, t = [lo], lo
-    while t < hi:
-        nxt = min(t + 900, hi)  # every change of offset so far came on a quarter of an hour
-        if zone.offset(t) != zone.offset(nxt):
-            left, right = t, nxt
-            while right - left > 1:
-                mid = (left + right) // 2
-                left, right = (mid, right) if zone.offset(mid) == zone.offset(left) else (left, mid)
-            cuts.append(right)
-        t = nxt
-    cuts.append(hi)
-    out = []
-    for p, q in zip(cuts, cuts[1:], strict=False):
-        shift = zone.offset((p + q) / 2)
-        start, end = max(p, wall_a.timestamp() - shift), min(q, wall_b.timestamp() - shift)
-        if end > start:
-            out.append((start, end))
-    return out
+    for begun, ended, ahead in zone.spells(t0, t1):
+        # inside a spell the wall clock is the real one plus a constant, so windows are plain arithmetic on day numbers; hours
+        # that a change leaves out are in no spell, hours that it repeats are in two
+        day = np.arange(math.floor((begun + ahead - wanted.start - length) / DAY), math.floor((ended + ahead) / DAY) + 1)
+        if zone.name is not None and wanted.weekdays is not None:
+            day = day[np.isin((day + EPOCH_WEEKDAY) % 7, list(wanted.weekdays))]
+        start = np.maximum(begun, day * float(DAY) + wanted.start - ahead)
+        end = np.minimum(ended, day * float(DAY) + wanted.start + length - ahead)
+        found.append(np.stack([start, end])[:, start < end])
+    start, end = np.concatenate(found, axis=1)
+    reach = np.concatenate([[-math.inf], np.maximum.accumulate(end)])[:-1]
+    first = np.flatnonzero(start > reach)
+    return list(zip(start[first].tolist(), np.maximum.reduceat(end, first).tolist() if len(first) else [], strict=True))
 
 
 def interval_frame(spark: SparkSession, intervals: Sequence[tuple[float, float]], cell: float, names: tuple[str, str, str]) -> DataFrame:
@@ -177,44 +170,56 @@ def join_intervals(rows: DataFrame, start: Column, end: Column, intervals: DataF
     return met.where(touch).drop("__a", "__b", "__f", "__first", "__cell")
 
 
-def with_next(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df with ``__next``, the following row's time (null for the last), without a window over all rows."""
+def neighbours(df: DataFrame, rows: int = HALO_ROWS) -> DataFrame:
+    """df with ``__next``, the following row's time (null for the last), and ``__past``, the largest finite time before.
+
+    Found by one window inside blocks of row numbers; what comes from other blocks is one row for each block.
+    """
     blocked = df.withColumn("__blk", F.floor(F.col("_row") / rows))
-    heads = blocked.groupBy("__blk").agg(F.min_by("_t", "_row").alias("__head"))
-    heads = heads.select("__blk", F.lead("__head").over(Window.orderBy("__blk")).alias("__carry"))
-    inside = F.lead(F.struct("_t")).over(Window.partitionBy("__blk").orderBy("_row"))
-    return blocked.withColumn("__in", inside).join(heads, "__blk", "left").withColumn("__next", F.when(F.col("__in").isNotNull(), F.col("__in._t")).otherwise(F.col("__carry"))).drop("__in", "__carry", "__blk")
+    known = F.when(finite(F.col("_t")), F.col("_t"))
+    order = Window.orderBy("__blk")
+    ends = blocked.groupBy("__blk").agg(F.min_by(F.struct("_t"), "_row").alias("head"), F.max(known).alias("top"))
+    ends = ends.select("__blk", F.lead("head").over(order).alias("__head"), F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__top"))
+    inside = Window.partitionBy("__blk").orderBy("_row")
+    near = blocked.withColumns({"__lead": F.lead(F.struct("_t")).over(inside), "__seen": F.max(known).over(inside.rowsBetween(Window.unboundedPreceding, -1))})
+    met = near.join(ends, "__blk", "left")
+    return met.withColumns({"__next": F.coalesce("__lead", "__head")["_t"], "__past": F.greatest("__seen", "__top")}).drop("__lead", "__head", "__seen", "__top", "__blk")
 
 
 def durations(df: DataFrame) -> DataFrame:
-    """df (a range of rows) with ``_w``: seconds to the next row; 0 for the last row and where that isn't positive and finite."""
+    """df (a range of rows) with ``_w``: seconds to the next row, 0 for the last row and where that isn't positive and finite;
+    and ``__past``."""
     d = F.col("__next") - F.col("_t")
-    return with_next(df).withColumn("_w", F.when(d.isNotNull() & finite(d) & (d > 0), d).otherwise(F.lit(0.0))).drop("__next")
+    return neighbours(df).withColumn("_w", F.when(d.isNotNull() & finite(d) & (d > 0), d).otherwise(F.lit(0.0))).drop("__next")
 
 
-def refuse_disorder(df: DataFrame) -> None:
-    """A finite time below the finite one before it is refused."""
-    valid = finite(F.col("_t"))
-    back = _blocked_previous(df.select("_row", "_t"), valid).where(valid & (F.col("_t") < F.col("__prev._t")))
-    if back.limit(1).count():
-        raise HistogramError("time_not_ascending")
+@dataclass(frozen=True)
+class Weights:
+    """df: the rows with ``_w``, 0 beyond the gap, and ``_gap`` for those; gap in seconds; lo, hi: finite times, None for none."""
 
+    df: DataFrame
+    gap: float
+    lo: float | None
+    hi: float | None
 
-def auto_gap(df: DataFrame) -> float:
-    """5 times the median over chunks of GAP_CHUNK rows of their median positive step; infinite if there is none.
 
+def time_weights(series: Series, gap: float | str | None = "auto") -> Weights:
+    """Row durations under a gap rule.
+
+    One pass over the axis finds what has to be known before: whether it ever falls below an earlier finite time (refused),
+    and for "auto" 5 times the median over chunks of GAP_CHUNK rows of their median positive step, infinite if there is none.
     A step belongs to the earlier row's chunk; chunks count from the first row of the range.
     """
-    steps = durations(df).where("_w > 0")
-    first = df.agg(F.min("_row")).first()[0] or 0
-    got = steps.groupBy(F.floor((F.col("_row") - first) / GAP_CHUNK).alias("c")).agg(F.percentile("_w", F.lit(0.5)).alias("m")).agg(F.percentile("m", F.lit(0.5))).first()[0]
-    return 5 * got if got is not None else math.inf
-
-
-def time_weights(series: Series, gap: float | str | None = "auto") -> tuple[DataFrame, float]:
-    """(rows with ``_w``, 0 beyond the gap, and ``_gap`` for those; the gap in seconds)."""
-    refuse_disorder(series.df)
-    limit = auto_gap(series.df) if gap == "auto" else math.inf if gap is None else float(gap)
-    held = durations(series.df)
+    t = F.col("_t")
+    ok = finite(t)
+    lo, hi, first = series.df.agg(F.min(F.when(ok, t)), F.max(F.when(ok, t)), F.min("_row")).first()
+    axis = durations(series.df.select("_row", "_t"))
+    chunk = F.floor((F.col("_row") - F.lit(first or 0)) / GAP_CHUNK)
+    each = axis.groupBy(chunk.alias("c")).agg(F.bool_or(ok & (t < F.col("__past"))).alias("back"), F.percentile(F.when(F.col("_w") > 0, F.col("_w")), F.lit(0.5)).alias("m"))
+    seen = each.agg(F.bool_or("back").alias("back"), F.percentile("m", F.lit(0.5)).alias("m")).first()
+    if seen["back"]:
+        raise HistogramError("time_not_ascending")
+    limit = math.inf if gap is None or gap == "auto" and seen["m"] is None else 5 * seen["m"] if gap == "auto" else float(gap)
     long_ = F.col("_w") > limit
-    return held.withColumns({"_gap": long_ & finite(F.col("_t")), "_w": F.when(long_, F.lit(0.0)).otherwise(F.col("_w"))}), limit
+    held = durations(series.df).drop("__past")
+    return Weights(held.withColumns({"_gap": long_ & ok, "_w": F.when(long_, F.lit(0.0)).otherwise(F.col("_w"))}), limit, lo, hi)

@@ -74,8 +74,15 @@ def write_columns(columns: Mapping[str, np.ndarray], path: str) -> list[str]:
     return axis_warnings(np.asarray(first, float))
 
 
+def refuse_itself(source: str, target: str) -> None:
+    """A target that is the source, by whatever path, would destroy it."""
+    if os.path.realpath(source) == os.path.realpath(target) or (os.path.exists(target) and os.path.exists(source) and os.path.samefile(source, target)):
+        raise ConvertError("the target is the source itself")
+
+
 def convert_mat(source: str, target: str, time_name: str | None = None) -> list[str]:
     """A MATLAB file; version 7.3 through HDF5."""
+    refuse_itself(source, target)
     try:
         from scipy.io import loadmat
     except ImportError:
@@ -113,6 +120,7 @@ def align(channels: Mapping[str, tuple[np.ndarray, np.ndarray]], raster: float |
 
 def convert_mdf(source: str, target: str, raster: float | None = None) -> list[str]:
     """A measurement file: numeric channels on one axis of epoch seconds."""
+    refuse_itself(source, target)
     try:
         from asammdf import MDF
     except ImportError:
@@ -138,6 +146,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if kind not in CONVERTERS:
             raise ConvertError(f"unknown kind of file: {kind}")
+        refuse_itself(args.source, target)
         more = {"time_name": args.time} if kind == ".mat" else {"raster": args.raster}
         for note in CONVERTERS[kind](args.source, target, **more):
             print(f"warning: {note}", file=sys.stderr)

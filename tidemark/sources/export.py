@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.semantics import finite
 from tidemark.plans.derived import classify, needed
 from tidemark.plans.expression import ExpressionError, Registry, referenced_names
 from tidemark.sources.series import Series, find_row_range, load_series
 from tidemark.sources.stores import View
 
 
+#: Before a derived column's name: whether its finite value is lost as float32.
+LOST = "__lost_"
+
+
 class ExportError(ValueError):
     """An export that can't be done as asked."""
 
@@ -74,9 +78,13 @@ def plan_from_view(spark: SparkSession, view: View, registry: Registry | None =
 
 
 def plan_frame(spark: SparkSession, plan: Plan) -> DataFrame:
-    """The frame that a plan writes, with ``_row``."""
+    """The frame that a plan writes, with ``_row`` and, for each derived column as float32, whether a finite value is lost.
+
+    Raw columns go along with those that are computed, so the log is read once and joined with nothing.
+    """
     inputs = {n for e in plan.derived.values() for n in referenced_names(e)} - set(plan.derived) - {plan.time_column}
-    series = load_series(spark, plan.path, plan.time_column, sorted(inputs))
+    kept = [plan.time_column, *plan.raw]
+    series = load_series(spark, plan.path, plan.time_column, sorted(inputs), carry=kept)
     span = None
     if plan.x_range is not None:
         axis = series if plan.range_axis in (None, plan.time_column) else load_series(spark, plan.path, plan.range_axis, [])
@@ -84,22 +92,16 @@ def plan_frame(spark: SparkSession, plan: Plan) -> DataFrame:
         if span[0] >= span[1]:
             raise ExportError("no row lies in the range")
     made = series.derive(plan.derived, plan.registry) if plan.derived else series
-    raw = load_raw(spark, plan.path, [plan.time_column, *plan.raw])
-    narrow = (lambda c: c.cast("float")) if plan.float32 else (lambda c: c)
-    if plan.derived:
-        frame = raw.join(made.df.select("_row", *(narrow(F.col(f"`{n}`")).alias(n) for n in plan.output if n in plan.derived)), "_row")
-    else:
-        frame = raw
-    if span:
-        frame = frame.where((F.col("_row") >= span[0]) & (F.col("_row") < span[1]))
-    return frame.select("_row", F.col(f"`{plan.time_column}`"), *(F.col(f"`{n}`") for n in plan.output))
-
-
-def load_raw(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """Columns as they are, with ``_row``."""
-    from tidemark.sources.series import _with_rows
-
-    return _with_rows(spark.read.parquet(path)).select("_row", *(F.col(f"`{n}`") for n in names))
+    frame = made.df.where((F.col("_row") >= span[0]) & (F.col("_row") < span[1])) if span else made.df
+    of = {n: F.col(f"__raw{k}") for k, n in enumerate(kept)}
+    lost = {}
+    for n in plan.output:
+        if n in plan.derived:
+            wide = F.col(f"`{n}`")
+            of[n] = wide.cast("float") if plan.float32 else wide
+            if plan.float32:
+                lost[f"{LOST}{n}"] = finite(wide) & ~finite(wide.cast("float").cast("double"))
+    return frame.select("_row", of[plan.time_column].alias(plan.time_column), *(of[n].alias(n) for n in plan.output), *(c.alias(n) for n, c in lost.items()))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -119,18 +121,23 @@ def export_parquet(spark: SparkSession, plan: Plan, path: str, overwrite: bool =
     if files.exists(there) and not overwrite:
         raise ExportError("the target exists")
     frame = plan_frame(spark, plan)
-    part = f"{path.rstrip('/')}.part"
-    frame.repartitionByRange("_row").sortWithinPartitions("_row").drop("_row").write.mode("overwrite").option("compression", "zstd").parquet(part)
-    written = spark.read.parquet(part)
-    floats = [n for n in plan.output if n in plan.derived] if plan.float32 else []
-    got = written.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.abs(F.col(f"`{n}`")) == math.inf).alias(n) for n in floats)).first().asDict()
-    rows = got.pop("rows")
+    part, aside = f"{path.rstrip('/')}.part", f"{path.rstrip('/')}.old"
+    floats = [c for c in frame.columns if c.startswith(LOST)]
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(f"`{c}`")).alias(c) for c in floats)]
+    ordered = frame.repartitionByRange("_row").sortWithinPartitions("_row").observe(seen, *counts)
+    ordered.drop("_row", *floats).write.mode("overwrite").option("compression", "zstd").parquet(part)
+    got = seen.get
+    rows = got["rows"]
+    old = _fs(spark, aside)[1]
     if files.exists(there):
-        files.delete(there, True)
+        files.delete(old, True)
+        files.rename(there, old)
     files.rename(_fs(spark, part)[1], there)
+    files.delete(old, True)
     about = {"source": plan.path, "range": plan.x_range, "derived": dict(plan.derived), "functions": {n: f.body for n, f in plan.registry.functions.items()}, "tables": sorted(plan.registry.tables), "created": datetime.now(UTC).isoformat()}
     write_text(spark, f"{path.rstrip('/')}/_about.json", json.dumps(about))
-    return {"rows": rows, "infinite": {n: v for n, v in got.items() if v}}
+    return {"rows": rows, "infinite": {c.removeprefix(LOST): got[c] for c in floats if got[c]}}
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

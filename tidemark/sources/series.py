@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
@@ -74,12 +75,25 @@ class Series:
         return replace(self, df=self.df.where((F.col("_row") >= max(0, start)) & (F.col("_row") < max(0, start, end))))
 
     def between(self, lo: float, hi: float) -> Series:
-        """Rows whose time lies in [lo, hi]; the bounds are pushed to the scan in the column's own type."""
+        """Rows whose time lies in [lo, hi].
+
+        The same bounds, widened to what the column's own type can hold, are put on the column as it is stored, where the scan
+        can skip row groups by them.
+        """
         kind = self.source.schema[self.time_column].dataType
         df = self.df
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and "__raw_t" in df.columns:
-            bound = lambda x: F.timestamp_micros(F.lit(int(x * 1e6))).cast(kind)
-            df = df.where((F.col("__raw_t") >= bound(lo - 1)) & (F.col("__raw_t") <= bound(hi + 1)))
+        if "__raw_t" in df.columns and lo <= hi:
+            raw = F.col("__raw_t")
+            if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+                slack = 86_400 if isinstance(kind, T.DateType) else 1
+                bound = lambda x: F.timestamp_micros(F.lit(int(max(-6e10, min(2.5e11, x)) * 1e6))).cast(kind)
+                df = df.where((raw >= bound(lo - slack)) & (raw <= bound(hi + slack)))
+            elif isinstance(kind, T.IntegralType):
+                most = {"tinyint": 7, "smallint": 15, "int": 31}.get(kind.simpleString(), 63)
+                bound = lambda x: F.lit(int(max(-(2**most), min(2**most - 1, x)))).cast(kind)
+                df = df.where((raw >= bound(math.floor(lo) if math.isfinite(lo) else lo)) & (raw <= bound(math.ceil(hi) if math.isfinite(hi) else hi)))
+            elif isinstance(kind, T.DoubleType):
+                df = df.where((raw >= lo) & (raw <= hi))
         return replace(self, df=df.where(F.col("_t").between(lo, hi)))
 
     def select(self, *names: str) -> Series:
@@ -116,8 +130,11 @@ def _with_rows(df: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(offsets), "__file").withColumn("_row", F.col("_row") + F.col("__base")).drop("__file", "__base")
 
 
-def load_series(spark: SparkSession, path: str, time_column: str | None = None, signals: Iterable[str] | None = None) -> Series:
-    """The log at path; the axis is the first column unless named, the signals all other numeric columns unless named."""
+def load_series(spark: SparkSession, path: str, time_column: str | None = None, signals: Iterable[str] | None = None, carry: Iterable[str] = ()) -> Series:
+    """The log at path; the axis is the first column unless named, the signals all other numeric columns unless named.
+
+    ``carry``: columns that go along as they are stored, named ``__raw0``, ``__raw1`` and so on.
+    """
     source = spark.read.parquet(path)
     if len(source.columns) < 2:
         raise ValueError("a log needs two columns")
@@ -127,8 +144,9 @@ def load_series(spark: SparkSession, path: str, time_column: str | None = None,
     df = _with_rows(source).select(
         "_row",
         numeric(axis, kind).alias("_t"),
-        *([F.col(f"`{axis}`").alias("__raw_t")] if is_datetime(kind) else []),
+        F.col(f"`{axis}`").alias("__raw_t"),
         *(numeric(n, source.schema[n].dataType).alias(n) for n in wanted),
+        *(F.col(f"`{n}`").alias(f"__raw{k}") for k, n in enumerate(carry)),
     )
     return Series(df, tuple(wanted), axis, source, is_datetime(kind))
 
