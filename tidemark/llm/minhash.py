@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, read
-from tidemark.llm.words import Words, slices, text_array, word_hashes
+from tidemark.llm.words import HEAVY_SLICE_BYTES, Words, slices, text_array, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 75
@@ -19,10 +19,13 @@ SIMILARITY = 75
 BANDS, ROWS = 32, 4
 #: Low bits kept of each minimum, packed 16 to a 64-bit word.
 BITS = 4
-#: Candidates whose collision-corrected estimate is below are dropped: five standard errors under the least similarity.
+#: A class tries its likeliest lead if the collision-corrected estimate is this much. What is not tried then is left to the
+#: second round, which knows no estimate.
 LEAST_ESTIMATE = 0.55
 #: Ids (8 bytes each) up to which a list of documents is broadcast; beyond it is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Tests of one shingle that one task makes in the second round, about.
+MEETINGS = 4_000_000
 _HASHES = BANDS * ROWS
 _PACKED = _HASHES * BITS // 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -98,7 +101,7 @@ def estimate(a: Column, b: Column) -> Column:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=HEAVY_SLICE_BYTES):
                 shingles, starts = shingle_sets(text_array(part))
                 sizes = np.diff(starts)
                 full = np.flatnonzero(sizes)
@@ -125,21 +128,60 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=HEAVY_SLICE_BYTES):
             shingles, starts = shingle_sets(text_array(part))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(shingles.view(np.int64)))], ["id", "shingles"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose whole shingle sets have 100 x intersection >= SIMILARITY x union."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingles (hashes of the whole set) of the documents of the distinct ``ids``, equal rows once, as a table."""
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi")
-    sets = materialize(texts.mapInArrow(_shingles, "id long, shingles array<long>"), "shingles")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi").distinct()
+    return materialize(texts.mapInArrow(_shingles, f"id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>").where(F.size("shingles") > 0), "shingles")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (a, b) of pairs whose whole shingle sets have 100 x intersection >= SIMILARITY x union.
+
+    Nothing is aggregated on top of the joins, so that Spark may split a lead that is in many pairs.
+    """
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     met = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * met >= SIMILARITY * (F.size("sa") + F.size("sb") - met)).select("a", "b").distinct()
+    return both.where(100 * met >= SIMILARITY * (F.size("sa") + F.size("sb") - met)).select("a", "b")
+
+
+def least_common(union: Column) -> Column:
+    """Shingles that two linked sets with that sum of sizes have in common at least: SIMILARITY / (100 + SIMILARITY) of it."""
+    return F.ceil(SIMILARITY * union / (100 + SIMILARITY))
+
+
+def prefix_pairs(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """The distinct pairs a < b of sets in different components (placed: id, component) that may be linked; none is left out.
+
+    All shingles are put in one order, the rarest among these sets first. A link needs so many common shingles that the first
+    common one stands early in both: each set is listed under the shingles that stand so early in it, and a pair meets only
+    where enough shingles are left behind both places. Shingles that only one component has early are dropped at once, and of
+    each of the others only sets outside its commonest component look for partners, so a group that is joined already is not
+    spelt out in pairs. The sets of a shingle that very many have early meet in a square of tasks of about MEETINGS tests each.
+    """
+    one = materialize(sets.select("id", F.xxhash64("shingles").alias("of"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    df = one.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rare = one.join(df, "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("id", "of", "n").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1)
+    early = rare.where((F.col("df") > 1) & (F.col("n") - F.col("at") >= F.ceil(SIMILARITY * F.col("n") / 100)))
+    early = materialize(early.select("token", "id", "n", "at").join(placed, "id"), "early")
+    each = early.groupBy("token", "component").agg(F.count(F.lit(1)).alias("of"))
+    main = each.groupBy("token").agg(F.max_by("component", F.struct("of", "component")).alias("main"), F.sum("of").alias("all"), F.max("of").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    side = F.ceil(F.sqrt(F.col("all") * (F.col("all") - F.col("most")) / float(MEETINGS))).cast("int")
+    known = materialize(early.join(main.select("token", "main", side.alias("side")), "token"), "early-mixed")
+    outside = F.col("component") != F.col("main")
+    own, other = F.pmod(F.xxhash64("id"), F.col("side")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    x = known.where(outside).select("token", own.alias("i"), other.alias("j"), F.col("id").alias("xi"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("at").alias("xa"))
+    y = known.select("token", other.alias("i"), own.alias("j"), F.col("id").alias("yi"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("at").alias("ya"), outside.alias("yo"))
+    enough = F.least(F.col("xn") - F.col("xa"), F.col("yn") - F.col("ya")) >= least_common(F.col("xn") + F.col("yn"))
+    same = (x["token"] == y["token"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
+    met = x.join(y, same & (F.col("xc") != F.col("yc")) & (~F.col("yo") | (F.col("xi") < F.col("yi"))) & enough)
+    return met.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,43 +208,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Texts with equal shingle sets are one class from the start. In each bucket of a band every class is paired with the
-    smallest, and of these pairs each class tries its likeliest. Then all classes of a bucket that are still in different
-    components are compared. So no link among candidates is left out, and no group is spelt out in pairs that are joined
-    already. Texts without words, null ones among them, are linked with nothing; rows that share a doc_id count as one
-    document; a null doc_id is linked with nothing, its component is null and it is kept. Other columns are not read.
+    smallest, and of these pairs each class tries its likeliest by packed bits. The classes of buckets that are still in
+    different components then meet by their rarest shingles (``prefix_pairs``, exact), and every such pair is confirmed. So no
+    link among candidates is left out, and no group is spelt out in pairs that are joined already. Texts without words, null
+    ones among them, are linked with nothing; rows that share a doc_id count as one document; a null doc_id is linked with
+    nothing, its component is null and it is kept. doc_id may be of any type that can be ordered. Other columns are not read.
     """
     whole = materialize(sketches(docs), "sketches")
     some = whole.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = some.join(classes, ["h1", "h2", "n_shingles"]).where("doc_id = rep").select("rep", "bands", "bits")
-    reps = materialize(reps.dropDuplicates(["rep", "bands"]), "reps")
+    key = ["h1", "h2", "n_shingles"]
+    classes = materialize(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    many = classes.where("rows > 1").drop("rows")
+    owned = materialize(whole.select("doc_id", *key).join(many, key, "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))), "owned")
+    # a document of several texts joins the classes that these are in
+    texts = owned.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id", "low")
+    twins = owned.select("doc_id", "rep").join(texts, "doc_id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    single = some.join(many.select(*key), key, "left_anti").select(F.col("doc_id").alias("rep"), "bands", "bits")
+    shared = some.join(many, key).where("doc_id = rep").select("rep", "bands", "bits").dropDuplicates(["rep", "bands"])
+    reps = materialize(single.union(shared), "reps")
     rows = reps.select("rep", F.explode("bands").alias("key"))
-    many = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
-    buckets = materialize(rows.join(many, "key"), "buckets")
+    full = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
+    buckets = materialize(rows.join(full, "key"), "buckets")
     bits = reps.select("rep", "bits")
     stars = buckets.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     known = stars.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("xb")), "b")
     likely = known.select("a", "b", estimate(F.col("xa"), F.col("xb")).alias("near")).where(F.col("near") >= LEAST_ESTIMATE)
-    best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    links = materialize(confirmed(docs, best), "links")
-    joined = materialize(components(links), "components")
-    # round two: classes of a bucket that are in different components so far
+    best = materialize(likely.groupBy("b").agg(F.min_by("a", F.struct(-F.col("near"), F.col("a"))).alias("a")).select("a", "b"), "best")
+    ids = lambda pairs: materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    links = confirmed(whole_sets(docs, ids(best)), best).union(twins)
+    joined = materialize(components(materialize(links, "links")), "components")
     placed = buckets.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low")
-    open_ = materialize(placed.join(mixed, "key").join(bits, "rep"), "open")
-    strays = open_.where("component <> low").select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("xb"))
-    others = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("xa"), (F.col("component") != F.col("low")).alias("stray"))
-    differ = (strays["key"] == others["key"]) & (F.col("ca") != F.col("cb")) & (~F.col("stray") | (F.col("a") < F.col("b"))) & (estimate(F.col("xa"), F.col("xb")) >= LEAST_ESTIMATE)
-    tried = best.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    more = strays.join(others, differ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(more.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "more")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_ = materialize(placed.join(mixed, "key").select(F.col("rep").alias("id"), "component").distinct(), "open")
+    sets = whole_sets(docs, open_.select("id"))
+    more = materialize(prefix_pairs(sets, open_), "more")
     if more.count():
-        joined = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(docs, more))), "components")
-    owned = whole.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
+        joined = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(sets, more))), "components")
     found = owned.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("rep").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

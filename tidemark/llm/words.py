@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that a kernel works on at once; one longer text goes alone.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that a kernel works on at once, and one that keeps a few dozen bytes for each byte; one longer text goes alone.
+SLICE_BYTES, HEAVY_SLICE_BYTES = 8 << 20, 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
