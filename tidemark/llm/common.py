@@ -81,11 +81,20 @@ def bounded_sample(rows: DataFrame, stratum: str, bound: int, key: str = "doc_id
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
-    """doc_id, text and label of about ``bound`` labelled documents of each class, 0 and 1.
+    """id, text and label of about ``bound`` labelled documents of each class, 0 and 1.
 
-    The labels are thinned first: what is left is bounded, so it is broadcast and no text is shuffled. Other values and null
-    labels are left out; a document with several labels counts once for each.
+    The labels are thinned first, and again if there are still more than four times ``bound`` of them, as after many labels
+    of one id: what is left is bounded, so it is broadcast and only the texts of the sample are shuffled. Other values, null
+    labels and null ids are left out; a document with several labels counts once for each; of several texts of one id the
+    smallest counts.
     """
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(column)).where(F.col(column).isin(0, 1))
-    few = bounded_sample(known, column, bound, "__id")
-    return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__id")).drop("__id")
+    known = labels.select(F.col("doc_id").alias("id"), F.col(column).cast("int").alias("label")).where(F.col(column).isin(0, 1) & F.col("id").isNotNull()).distinct()
+    few = thinned(materialize(bounded_sample(known, "label", bound, "id"), "labels"), F.lit(1), 4 * bound)
+    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(few), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+
+
+def thinned(rows: DataFrame, weight: Column, bound: int) -> DataFrame:
+    """rows, a table on disk, with those left out, by a hash of id, that make the sum of their weights more than ``bound``, about."""
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    spot = F.pmod(F.xxhash64(F.col("id"), F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
+    return rows if total <= bound else rows.where(spot < bound / total)

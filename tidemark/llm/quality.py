@@ -9,16 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import held_out, labelled_sample, read
-from tidemark.llm.words import Words, ngrams, slices, text_array
+from tidemark.llm.common import held_out, labelled_sample, materialize, read, thinned
+from tidemark.llm.words import HEAVY_SLICE_BYTES, Words, ngrams, slices, text_array
 
 #: Features: one bucket for each hashed word, then BINS one-hot bins for each statistic.
 WORD_BUCKETS = 1 << 13
 BINS = 12
 RANK = 6
-#: Labelled documents of each class used to fit, about.
-TRAIN_DOCS = 2000
+#: Labelled documents of each class used to fit, about, and the most entries (8 bytes each) of all of them, about.
+TRAIN_DOCS, TRAIN_ENTRIES = 2000, 2_000_000
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.08, 1e-5
 THRESHOLD = 0.5
 #: Weight of the word part against the statistics: a text's word counts are scaled to this Euclidean length.
@@ -75,25 +76,29 @@ def statistics(texts: pa.Array, words: Words) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def features(texts: pa.Array, cuts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, feature, value) of each entry, and the statistics; without cuts the entries are those of the words."""
-    words = Words(texts, lower=False)
-    stats = statistics(texts, words)
-    n = len(texts)
+def word_entries(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, feature, value) of each hashed word of each text, in order of text."""
     _, bucket = ngrams(words.distinct, (1,), WORD_BUCKETS, whole=True)
     bucket = bucket[len(bucket) - len(words.distinct) :]
     keys, times = np.unique(words.text_of_word() * WORD_BUCKETS + bucket[words.codes], return_counts=True)
-    rows, cols = keys // WORD_BUCKETS, keys % WORD_BUCKETS
+    rows = keys // WORD_BUCKETS
     value = np.sqrt(times.astype(np.float64))
-    norm = np.sqrt(np.bincount(rows, weights=value**2, minlength=n))
-    value *= WORD_SCALE / np.maximum(norm[rows], 1e-9)
-    if cuts is not None:
-        bins = np.stack([np.searchsorted(cuts[k], stats[:, k], "right") for k in range(N_STATS)], axis=1)
-        at = WORD_BUCKETS + np.arange(N_STATS) * BINS + bins
-        rows = np.concatenate([rows, np.repeat(np.arange(n), N_STATS)])
-        cols = np.concatenate([cols, at.ravel()])
-        value = np.concatenate([value, np.full(n * N_STATS, 1 / np.sqrt(N_STATS))])
-    return rows, cols, value, stats
+    norm = np.sqrt(np.bincount(rows, weights=value**2, minlength=len(texts)))
+    return rows.astype(np.int32), (keys % WORD_BUCKETS).astype(np.int32), (value * WORD_SCALE / np.maximum(norm[rows], 1e-9)).astype(np.float32)
+
+
+def binned(stats: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The feature of each statistic's bin, a row for each text."""
+    bins = np.stack([np.searchsorted(cuts[k], stats[:, k], "right") for k in range(N_STATS)], axis=1)
+    return (WORD_BUCKETS + np.arange(N_STATS) * BINS + bins).astype(np.int32)
+
+
+def with_statistics(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, stats: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' entries and one for each statistic's bin."""
+    n = len(stats)
+    rows = np.concatenate([rows, np.repeat(np.arange(n, dtype=np.int32), N_STATS)])
+    cols = np.concatenate([cols, binned(stats, cuts).ravel()])
+    return rows, cols, np.concatenate([value, np.full(n * N_STATS, 1 / np.sqrt(N_STATS), np.float32)])
 
 
 def margin(model: Machine, rows: np.ndarray, cols: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -106,18 +111,21 @@ def margin(model: Machine, rows: np.ndarray, cols: np.ndarray, value: np.ndarray
 
 
 def score_texts(texts: pa.Array, model: Machine) -> np.ndarray:
-    rows, cols, value, _ = features(texts, model.cuts)
-    return 1 / (1 + np.exp(-np.clip(margin(model, rows, cols, value, len(texts)), -50, 50)))
+    words = Words(texts, lower=False)
+    entries = with_statistics(*word_entries(texts, words), statistics(texts, words), model.cuts)
+    return 1 / (1 + np.exp(-np.clip(margin(model, *entries, len(texts)), -50, 50)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Machine:
-    """Logistic loss with classes weighed alike, Adagrad over shuffled minibatches."""
-    n = len(texts)
-    _, _, _, stats = features(texts, None)
+def fit(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, stats: np.ndarray, labels: np.ndarray, seed: int = 5) -> Machine:
+    """Logistic loss with classes weighed alike, Adagrad over shuffled minibatches.
+
+    rows, cols and value are the words' entries of all texts, stats their statistics.
+    """
+    n = len(labels)
     low = stats[labels == 0] if (labels == 0).any() else stats
     both = np.concatenate([np.quantile(x, np.linspace(0, 1, BINS // 2 + 2)[1:-1], axis=0) for x in (low, stats[labels == 1] if (labels == 1).any() else stats)])
     cuts = np.sort(both, axis=0).T[:, : BINS - 1]
-    rows, cols, value, _ = features(texts, cuts)
+    rows, cols, value = with_statistics(rows, cols, value, stats, cuts)
     order = np.argsort(rows, kind="stable")
     rows, cols, value = rows[order], cols[order], value[order]
     starts = np.searchsorted(rows, np.arange(n + 1))
@@ -148,39 +156,59 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Machine:
     return Machine(float(w0), w, v, cuts)
 
 
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries and statistics of each text, where the texts are."""
+    for batch in batches:
+        for part in slices(batch, most=HEAVY_SLICE_BYTES):
+            texts = text_array(part)
+            words = Words(texts, lower=False)
+            rows, cols, value = word_entries(texts, words)
+            starts = pa.array(np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32))
+            stats = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * N_STATS), pa.array(statistics(texts, words).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.ListArray.from_arrays(starts, pa.array(cols)), pa.ListArray.from_arrays(starts, pa.array(value)), stats], ["id", "label", "cols", "value", "stats"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
     """Learn from doc_id, text of docs and doc_id, quality of labels; a single class or none gives no model.
 
-    About TRAIN_DOCS documents of each class, chosen by a hash of doc_id, come to the driver.
+    About TRAIN_DOCS documents of each class, chosen by a hash of doc_id, are used; texts become features on the executors.
+    Only those come to the driver, thinned by the same hash if they have more than TRAIN_ENTRIES entries together. Null texts
+    count as empty, null ids and labels are left out, a document of several labels counts once for each.
     """
-    got = labelled_sample(docs, labels, "quality", TRAIN_DOCS).toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
-    labels = got.column("quality").to_numpy().astype(np.int64)
-    if len(set(labels.tolist())) < 2:
+    few = labelled_sample(docs, labels, "quality", TRAIN_DOCS)
+    kind = few.schema["id"].dataType.simpleString()
+    known = materialize(few.mapInArrow(_describe, f"id {kind}, label int, cols array<int>, value array<float>, stats array<double>"), "quality-sample")
+    got = thinned(known, F.size("cols"), TRAIN_ENTRIES).toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
+    wanted = got.column("label").to_numpy().astype(np.int64)
+    if len(set(wanted.tolist())) < 2:
         return None
-    texts = text_array(pa.RecordBatch.from_arrays([got.column("text").combine_chunks()], ["text"]))
-    return fit(texts, labels)
+    lists = got.column("cols").combine_chunks()
+    flat = lambda name: got.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(wanted), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    return fit(rows, flat("cols"), flat("value"), flat("stats").reshape(-1, N_STATS), wanted)
 
 
 def predict(docs: DataFrame, model: Machine | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, score and predicted for every row of docs.
 
-    A null text counts as an empty one; repeated rows are scored each; without a model every score is 0.5. Columns named
-    score or predicted in docs are not read.
+    A null text counts as an empty one; repeated rows are scored each; without a model every score is 0.5. Where a column of
+    carry is itself named score or predicted, the new ones are named __score and __predicted.
     """
+    mark = "__" if {"score", "predicted"} & set(carry) else ""
     if model is None:
-        return docs.select(*carry, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return docs.select(*carry, F.lit(0.5).alias(f"{mark}score"), F.lit(1).alias(f"{mark}predicted"))
     rows = docs.select(*carry, F.col("text").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*carry, "score", "predicted"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    names = [*carry, f"{mark}score", f"{mark}predicted"]
+    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(names[-2], T.DoubleType()), T.StructField(names[-1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", HEAVY_SLICE_BYTES):
                 score = score_texts(text_array(part, "__text"), shared.value)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names)
 
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return rows.mapInArrow(run, schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
