@@ -10,18 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, labelled_sample, read
-from tidemark.llm.words import Words, by_owner, ngrams, slices, sums, text_array
+from tidemark.llm.common import held_out, labelled_sample, materialize, read, thinned
+from tidemark.llm.words import HEAVY_SLICE_BYTES, Words, by_owner, ngrams, slices, sums, text_array
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 2
-#: Words of a passage; a document is as toxic as its worst passage.
-PASSAGE = 3
+#: Words of a passage; passages begin at every word, and a document is as toxic as its worst passage.
+PASSAGE = 2
 #: Distinct words whose subwords are worked on at once.
 CHUNK = 1 << 15
-#: Labelled documents of each class used to fit, about.
-TRAIN_DOCS = 2000
+#: Labelled documents of each class used to fit, about, and the most bytes of all their texts, about.
+TRAIN_DOCS, TRAIN_BYTES = 2000, 16 << 20
 STEPS, RATE = 25, 0.2
 #: Documents that a subword must be in to count, and the count at which its first log odds are halved.
 LEAST, SHRINK = 5, 5
@@ -38,20 +38,29 @@ class Bag:
 
 
 class Passages:
-    """Words, the subwords of each distinct word, and passages of PASSAGE words, none across texts."""
+    """Words, the subwords of each distinct word, and passages of PASSAGE words, none across texts.
+
+    A passage begins at every word that has PASSAGE - 1 more behind it in its text; a text of fewer words is one passage.
+    """
 
     def __init__(self, texts: pa.Array):
         self.words = Words(texts)
+        self.codes = self.words.codes.astype(np.int32)
         parts = [by_owner(*ngrams(words, SIZES, BUCKETS, whole=True), len(words)) for words in (self.words.distinct.slice(at, CHUNK) for at in range(0, len(self.words.distinct), CHUNK))]
         self.ids = np.concatenate([ids.astype(np.int32) for ids, _ in parts]) if parts else np.zeros(0, np.int32)
         self.id_starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in parts]))]) if parts else np.zeros(1, np.int64)
         self.n_ids = np.maximum(1, np.diff(self.id_starts))
-        per_text = -(-np.diff(self.words.starts) // PASSAGE)
+        n_words = np.diff(self.words.starts)
+        per_text = np.where(n_words > 0, np.maximum(1, n_words - PASSAGE + 1), 0)
         self.of_text = np.concatenate([[0], np.cumsum(per_text)])
-        text = np.repeat(np.arange(len(per_text)), per_text)
-        nth = np.arange(len(text)) - self.of_text[text]
-        self.starts = np.append(self.words.starts[text] + nth * PASSAGE, self.words.starts[-1])
-        self.text = text
+        self.text = np.repeat(np.arange(len(per_text), dtype=np.int32), per_text)
+        self.first = (np.arange(len(self.text)) + np.repeat(self.words.starts[:-1] - self.of_text[:-1], per_text)).astype(np.int32)
+        self.length = np.minimum(PASSAGE, n_words)[self.text].astype(np.int8)
+
+    def nth(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passages that have a word k, its code in each)."""
+        has = np.flatnonzero(self.length > k)
+        return has, self.codes[self.first[has] + k]
 
     def vectors(self, e: np.ndarray) -> np.ndarray:
         """Mean subword vector of each distinct word."""
@@ -78,7 +87,22 @@ class Passages:
         self.ids = self.ids[held]
 
     def means(self, vectors: np.ndarray) -> np.ndarray:
-        return sums(vectors[self.words.codes], self.starts) / np.maximum(1, np.diff(self.starts))[:, None]
+        """Mean of the words' vectors of each passage, added word by word, so equal passages have equal means."""
+        out = np.zeros((len(self.first), vectors.shape[1]))
+        for k in range(PASSAGE):
+            has, codes = self.nth(k)
+            out[has] += vectors[codes]
+        return out / self.length[:, None]
+
+    def back(self, per_passage: np.ndarray) -> np.ndarray:
+        """Sum over the words of each passage, by distinct word."""
+        n = len(self.words.distinct)
+        out = np.zeros((n, per_passage.shape[1]))
+        for k in range(PASSAGE):
+            has, codes = self.nth(k)
+            for j in range(per_passage.shape[1]):
+                out[:, j] += np.bincount(codes, weights=per_passage[has, j], minlength=n)
+        return out
 
 
 def toxic_share(model: Bag, means: np.ndarray) -> np.ndarray:
@@ -124,8 +148,6 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Bag:
     half = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     even = (half / np.maximum(1, n))[got.text]
     full = np.flatnonzero(n > 0)
-    length = np.maximum(1, np.diff(got.starts))
-    passage_of = np.repeat(np.arange(len(got.text)), np.diff(got.starts))
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (model.e, model.w, model.b)]
     for step in range(1, STEPS + 1):
         means = got.means(got.vectors(model.e))
@@ -139,8 +161,7 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Bag:
         worst[first[first >= 0]] = True
         err = (share - y) * np.where(y == 1, worst * half[got.text], 0.5 * worst * half[got.text] + 0.5 * even)
         dz = np.stack([-err, err], axis=1)
-        per_word = (dz @ model.w.T / length[:, None])[passage_of]
-        dvec = np.stack([np.bincount(got.words.codes, weights=per_word[:, k], minlength=n_words) for k in range(DIM)], axis=1)
+        dvec = got.back(dz @ model.w.T / got.length[:, None])
         de = got.spread(dvec / got.n_ids[:, None])
         for x, g, m, rate in zip((model.e, model.w, model.b), (de, means.T @ dz, dz.sum(axis=0)), moments, (RATE / 5, RATE, RATE), strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
@@ -152,13 +173,15 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Bag:
 def train(docs: DataFrame, labels: DataFrame) -> Bag | None:
     """Learn from doc_id, text of docs and doc_id, toxic of labels; a single class or none gives no model.
 
-    About TRAIN_DOCS documents of each class, chosen by a hash of doc_id, come to the driver.
+    About TRAIN_DOCS documents of each class, chosen by a hash of doc_id, come to the driver, thinned by the same hash if they
+    have more than TRAIN_BYTES together. Null texts count as empty, null ids and labels are left out.
     """
-    got = labelled_sample(docs, labels, "toxic", TRAIN_DOCS).toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
-    labels = got.column("toxic").to_numpy().astype(np.int64)
-    if len(set(labels.tolist())) < 2:
+    known = materialize(labelled_sample(docs, labels, "toxic", TRAIN_DOCS), "toxic-sample")
+    got = thinned(known, F.coalesce(F.octet_length("text"), F.lit(0)), TRAIN_BYTES).toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
+    wanted = got.column("label").to_numpy().astype(np.int64)
+    if len(set(wanted.tolist())) < 2:
         return None
-    return fit(text_array(pa.RecordBatch.from_arrays([got.column("text").combine_chunks()], ["text"])), labels)
+    return fit(text_array(pa.RecordBatch.from_arrays([got.column("text").combine_chunks()], ["text"])), wanted)
 
 
 def predict(docs: DataFrame, model: Bag | None) -> DataFrame:
@@ -173,7 +196,7 @@ def predict(docs: DataFrame, model: Bag | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=HEAVY_SLICE_BYTES):
                 score = score_texts(text_array(part), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
