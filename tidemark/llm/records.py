@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -20,9 +21,19 @@ from tidemark.llm.words import slices, text_array
 END_ID = 2
 #: Distinct words whose ids a worker remembers; beyond that it begins anew.
 REMEMBERED = 300_000
-#: Documents of one range of doc_ids, about, while there are at most RANGES of them; and of one file at most.
-RANGE_DOCS, RANGES, FILE_DOCS = 8192, 2048, 65536
+#: Documents of one range of doc_ids, about, while there are at most RANGES of them; and of one file at most. Beyond RANGES
+#: ranges grow, and are sorted with spilling.
+RANGE_DOCS, RANGES, FILE_DOCS = 8192, 1 << 16, 65536
+#: Sampled ids for each range, from which its bounds come: 16 MB of them at most.
+RANGE_SAMPLE = 32
 VOCABULARY = "word_bpe_49k.json"
+#: How that vocabulary's file prepares a text: white space ends a word whatever follows, and marks end one after a letter.
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+}
+#: A word that ends in an ASCII letter and full stops or commas: the tokenizer cuts between them, and no mark composes there.
+_ENDED = r"(?s)^(?P<body>.*[A-Za-z])(?P<tail>[.,]+)$"
 
 
 def masked(data: bytes) -> int:
@@ -56,24 +67,39 @@ def default_vocabulary() -> str:
 
 
 @cache
-def _tokenizer(path: str):
+def _tokenizer(path: str | None):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(path or default_vocabulary())
 
 
 @cache
-def _memory(path: str) -> dict[str, np.ndarray]:
+def _wordwise(path: str | None) -> bool:
+    """Whether the file prepares texts as ``_WORDWISE`` says, so that words can be encoded one by one."""
+    with open(path or default_vocabulary(), encoding="utf-8") as file:
+        about = json.load(file)
+    steps = (about.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    return about.get("normalizer") == _WORDWISE["normalizer"] and steps[0] == _WORDWISE["split"]
+
+
+@cache
+def _memory(path: str | None) -> dict[str, bytes]:
     return {}
 
 
-def _pieces(word: str) -> tuple[str, str]:
-    """A word without its last full stops and commas, and those: the tokenizer always cuts between a letter and them."""
-    body = word.rstrip(".,")
-    return (body, word[len(body) :]) if body and body[-1] < "\u0250" and body[-1].isalpha() else (word, "")
+def _width(path: str | None) -> int:
+    """Bytes of an id."""
+    return 2 if _tokenizer(path).get_vocab_size() < 1 << 16 else 4
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pool's runs of those codes one after the other, the end of each)."""
+    per = np.diff(starts)[codes]
+    ends = np.cumsum(per)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[:-1][codes] - (ends - per), per)], ends
 
 
 def _plain(words: pa.Array) -> pa.Array:
@@ -88,57 +114,66 @@ def _plain(words: pa.Array) -> pa.Array:
     return pc.if_else(kept, words, pc.ascii_lower(words))
 
 
-def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def _encode_whole(texts: pa.Array, path: str | None) -> tuple[np.ndarray, np.ndarray]:
+    found = [[*got.ids, END_ID] for got in _tokenizer(path).encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+    return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int64)
+
+
+def encode(texts: pa.Array, path: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, starts of each, n + 1), END_ID after each text.
 
-    The vocabulary's tokenizer drops white space and never joins across it, so the ids of a text are those of its words; each
-    distinct word is encoded once.
+    If the tokenizer never joins across white space, the ids of a text are those of its words, and each distinct word is
+    encoded once; with any other vocabulary file the texts are encoded whole.
     """
     import pyarrow.compute as pc
 
+    if not _wordwise(path):
+        return _encode_whole(texts, path)
     lists = pc.ascii_split_whitespace(texts)
     flat, counts = pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     written = flat.dictionary_encode()
-    coded = _plain(written.dictionary).dictionary_encode()
+    ended = pc.extract_regex(written.dictionary, _ENDED)
+    body = _plain(pc.coalesce(pc.struct_field(ended, "body"), written.dictionary)).dictionary_encode()
+    tail = pc.fill_null(pc.struct_field(ended, "tail"), "").dictionary_encode()
     known, tokenizer = _memory(path), _tokenizer(path)
     if len(known) > REMEMBERED:
         known.clear()
-    distinct = coded.dictionary.to_pylist()
-    cut = [_pieces(w) for w in distinct]
-    missing = list(dict.fromkeys(p for pair in cut for p in pair if p not in known))
+    pieces = body.dictionary.to_pylist() + tail.dictionary.to_pylist()
+    missing = list({p for p in pieces if p not in known})
     for word, got in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-        known[word] = np.array(got.ids, np.uint32)
-    ids_of = [np.concatenate((known[a], known[b])) if b else known[a] for a, b in cut]
-    lengths = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
-    pool = np.concatenate([*ids_of, np.array([END_ID], np.uint32)])
-    pool_starts = np.concatenate([[0], np.cumsum(lengths)])
-    n = len(counts)
+        known[word] = np.array(got.ids, np.uint32).tobytes()
+    blobs = [known[p] for p in pieces]
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)])
+    code = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs = np.stack([code(body), code(tail) + len(body.dictionary)], axis=1).ravel()
+    pool, ends = _gather(np.frombuffer(b"".join(blobs), np.uint32), starts, pairs)
     # the end id stands as one more word behind each text
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[written.indices.to_numpy(zero_copy_only=False)]
-    codes = np.insert(codes, np.cumsum(counts), len(distinct))
-    lengths = np.append(lengths, 1)
-    per_word = lengths[codes]
-    ends = np.cumsum(per_word)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(pool_starts[codes] - (ends - per_word), per_word)
+    pool_starts = np.concatenate([[0], ends[1::2], [len(pool) + 1]])
+    codes = np.insert(code(written), np.cumsum(counts), len(pairs) // 2)
+    ids, ends = _gather(np.append(pool, np.uint32(END_ID)), pool_starts, codes)
     word_starts = np.concatenate([[0], np.cumsum(counts + 1)])
-    return pool[at], np.concatenate([[0], ends])[word_starts] if n else np.zeros(1, np.int64)
+    return ids, np.concatenate([[0], ends])[word_starts]
 
 
-def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian, 2 bytes an id if the vocabulary allows it) of every text; null is empty."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    width = "<u2" if _tokenizer(path).get_vocab_size() < 1 << 16 else "<u4"
+def tokenize(docs: DataFrame, path: str | None, cuts: np.ndarray) -> DataFrame:
+    """shard, doc_id and ids (little-endian, 2 bytes an id if the vocabulary allows it) of every text; null is empty.
+
+    shard is the number of cuts below doc_id, 0 for a null one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 ids, starts = encode(text_array(part), path)
-                ids = ids.astype(width)
+                ids = ids.astype(f"<u{_width(path)}")
                 data = pa.py_buffer(ids.tobytes())
                 offsets = pa.py_buffer((starts * ids.itemsize).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, data])], ["doc_id", "ids"])
+                there = pa.compute.is_valid(part.column("doc_id")).to_numpy(zero_copy_only=False)
+                shard = np.searchsorted(shared.value, pa.compute.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False), "left") * there
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), part.column("doc_id"), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, data])], ["shard", "doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "shard long, doc_id long, ids binary")
 
 
 def _writer(folder: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -182,19 +217,17 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None) -> Data
     Each file holds a run of doc_ids (null first). A record is a presence byte and the doc_id
     (8 bytes), then the ids. Beside it stands an index of the records' byte offsets, for reads in any order. Files of failed
     attempts keep other names and are not in the list. The list has a row for each file: shard, name, n_docs, n_ids, first
-    (ids in all files before it).
+    (ids in all files before it). doc_id must be an integer or text that spells one; anything else stops the job.
     """
-    path = path or default_vocabulary()
-    width = 2 if _tokenizer(path).get_vocab_size() < 1 << 16 else 4
-    n = docs.count()
+    width, n = _width(path), docs.count()
     shards = min(RANGES, max(1, -(-n // RANGE_DOCS)))
-    cuts = []
+    cuts = np.zeros(0, np.int64)
     if shards > 1:
-        got = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100_000)).first()[0]
-        cuts = sorted(set(got))
-    bound = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<long>")
-    keyed = tokenize(docs, path).withColumn("shard", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bound, lambda c: c < F.col("doc_id")))).cast("long"))
-    spread = keyed.repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+        spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+        some = docs.select(F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull() & (spot < RANGE_SAMPLE * shards / n)).toArrow()
+        found = np.sort(some.column(0).to_numpy())
+        cuts = np.unique(found[np.arange(1, shards) * len(found) // shards]) if len(found) else cuts
+    spread = tokenize(docs, path, cuts).repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     files = spread.select("shard", "doc_id", "ids").mapInArrow(_writer(folder, width), "shard long, nth long, name string, n_docs long, n_ids long").toArrow().sort_by([("shard", "ascending"), ("nth", "ascending")])
     firsts = np.concatenate([[0], np.cumsum(files.column("n_ids").to_numpy())])[:-1] if len(files) else np.zeros(0, np.int64)
     rows = [(int(s), f"{folder}/{name}.rec", int(d), int(i), int(f)) for s, name, d, i, f in zip(*(files.column(c).to_pylist() for c in ("shard", "name", "n_docs", "n_ids")), firsts, strict=True)]
@@ -235,7 +268,7 @@ def read_one(path: str, nth: int, width: int = 2) -> tuple[int | None, np.ndarra
 
 def token_records(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write, then read back: one row for each row of docs. Null text is empty (the end id alone); null ids come first."""
-    return read_records(write_records(docs, scratch_path(docs.sparkSession, "records"), path))
+    return read_records(write_records(docs, scratch_path(docs.sparkSession, "records"), path), _width(path))
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
