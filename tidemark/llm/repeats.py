@@ -284,15 +284,16 @@ def _resolve(units: Units):
     return run
 
 
-def repeated_spans(docs: DataFrame, units: Units) -> DataFrame:
-    """doc_id, key, spans (start << 32 | end, in units, not merged), whole: the rows of docs that lose something.
+def candidates(docs: DataFrame, units: Units) -> tuple[DataFrame, DataFrame]:
+    """(copies: doc_id, key; looked: doc_id, key, text, ordinals of the stretches whose gram is in another text too).
 
     docs has doc_id, text and key, which tells rows of a doc_id apart. Of equal texts those whose id isn't the smallest lose
-    all (whole); only the others are searched. Rows with a null doc_id or text take no part.
+    all, they are the copies; only the others are searched. Rows with a null doc_id or text take no part.
     """
     rows = materialize(docs.select("doc_id", "key", F.md5("text").alias("h"), F.octet_length("text").cast("long").alias("n")).where("doc_id IS NOT NULL AND n IS NOT NULL"), "rows")
     classes = rows.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = materialize(rows.join(classes, ["h", "n"]).where("doc_id > least").select("doc_id", "key").distinct(), "copies")
+    # without an aggregate on top of the join Spark may split a text of very many copies
+    copies = materialize(rows.join(classes, ["h", "n"]).where("doc_id > least").select("doc_id", "key"), "copies").distinct()
     skipped = materialize(copies.select("key").distinct(), "skipped")
     total = rows.agg(F.sum("n")).first()[0] or 0
     part = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "key", "text")
@@ -302,19 +303,29 @@ def repeated_spans(docs: DataFrame, units: Units) -> DataFrame:
     sent = part.select("key", "text").mapInArrow(_send_grams(units, n_grams), "part long, blob binary, key long, ordinal int")
     met = sent.repartition(n_grams, "part").sortWithinPartitions("part").mapInArrow(_match_grams, "key long, ordinal int")
     shared = materialize(met.groupBy("key").agg(F.array_distinct(F.collect_list("ordinal")).alias("ordinals")), "shared")
-    n_shared = shared.agg(F.sum(F.size("ordinals"))).first()[0] or 0
+    return copies, part.join(shared, "key")
+
+
+def with_copies(lost: DataFrame, copies: DataFrame) -> DataFrame:
+    """doc_id, key, spans (start << 32 | end, in units, not merged), whole, from rows of (doc_id, key, spans) and the copies."""
+    some = lost.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.lit(False).alias("whole"))
+    return some.unionByName(copies.select("doc_id", "key", F.array().cast("array<long>").alias("spans"), F.lit(True).alias("whole")))
+
+
+def repeated_spans(docs: DataFrame, units: Units) -> DataFrame:
+    """The rows of docs that lose something, with what they lose (see with_copies), through parts by gram."""
+    copies, looked = candidates(docs, units)
+    n_shared = looked.select(F.size("ordinals").alias("n")).agg(F.sum("n")).first()[0] or 0
     n_parts = max(1, -(-n_shared * (LENGTH + (LENGTH - units.gram + 2) // 2) // STRETCH_PART))
-    looked = part.join(shared, "key")
     sent = looked.select("doc_id", "key", "text", "ordinals").mapInArrow(_send_stretches(units, n_parts), "part long, blob binary, doc_id long, key long, spans array<long>")
     found = sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_resolve(units), "doc_id long, key long, spans array<long>")
-    lost = found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.lit(False).alias("whole"))
-    return lost.unionByName(copies.select("doc_id", "key", F.array().cast("array<long>").alias("spans"), F.lit(True).alias("whole")))
+    return with_copies(found, copies)
 
 
-def with_spans(docs: DataFrame, units: Units) -> DataFrame:
-    """docs (doc_id and text, no more) with spans and whole: null where nothing is lost."""
+def with_spans(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs (doc_id and text, no more) with spans and whole, as ``find`` gives them: null where nothing is lost."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    lost = materialize(repeated_spans(keyed, units), "lost")
+    lost = materialize(find(keyed), "lost")
     return keyed.join(lost, ["doc_id", "key"], "left").select("doc_id", "text", "spans", "whole")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
-from tidemark.llm.repeats import LENGTH, Units, gram_hashes, merged, with_spans
+from tidemark.llm.repeats import LENGTH, Units, gram_hashes, merged, repeated_spans, with_spans
 from tidemark.llm.words import Words, run_starts, text_array, word_hashes
 
 GRAM = 10
@@ -81,7 +81,7 @@ def remove_repeated_words(docs: DataFrame) -> DataFrame:
     no words; texts of fewer words lose none; rows that share a doc_id don't touch each other; rows with a null doc_id lose
     nothing and take nothing. Other columns are not read.
     """
-    rows = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), WORDS)
+    rows = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), lambda keyed: repeated_spans(keyed, WORDS))
     return rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
