@@ -23,6 +23,9 @@ ROWS = [
     (12, "z" * 3000 + " " + "ab" * 900, "en", "c"),
     (13, "the the the the the the the the the the the the the", "en", "a"),
     (14, "123 456 !!", "en", "a"),
+    (20, "of two texts, the first is like fifteen", "en", "a"),
+    (20, LONG, "en", "a"),
+    (15, "of two texts, the first is like fifteen", "en", "c"),
 ]
 CLASHES = ["key", "__key", "size", "taken", "score", "predicted", "rep", "component", "n_shingles", "spans", "whole", "h", "n", "shard", "ids", "item", "start", "w", "hits", "target", "no", "at", "block", "held_out", "kept", "letters"]
 

@@ -62,8 +62,12 @@ def test_repeats_in_many_parts(docs, small, monkeypatch):
     monkeypatch.setattr(repeats, "STRETCH_PART", 1 << 14)
     monkeypatch.setattr(repeats, "BROADCAST_KEYS", -1)
     monkeypatch.setattr(words, "SLICE_BYTES", 1 << 12)
+    for name, value in (("BLOCK_BYTES", 1 << 11), ("PART_PAIRS", 1 << 9), ("PIECE_WINDOWS", 70), ("CUT", 3)):
+        monkeypatch.setattr(prefix_doubling, name, value)
     assert got(suffix_trees.remove_repeated_words(small)) == want(brute.repeated_words(rows_of(small)))
     assert got(prefix_doubling.remove_repeated_bytes(docs)) == want(brute.repeated_bytes(rows_of(docs)))
+    few = small.where("doc_id < 60")
+    assert got(prefix_doubling.remove_repeated_bytes(few)) == want(brute.repeated_bytes(rows_of(few)))
 
 
 def test_near_duplicates(docs, empty, small):
@@ -111,6 +115,66 @@ def test_token_records(docs, empty, small, spark, tmp_path):
     assert records.token_records(empty).count() == 0
 
 
+def test_random_tokens():
+    """Letters that change or compose, marks, special tokens and every kind of space: ids are the tokenizer's own."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    draw = random.Random(3)
+    signs = [*"abzHJTWY\u0130\u0131\u015e\u00c9\u00df.,,..'<|>  \t\n\x0b\x1f\u0085\u00a0\u3000\u4e09\u03c2\u03a309!?-_", *"\u0331\u030c\u0307\u0301\u0308\u030a", "<|endoftext|>", "<|startoftext|>", "'s", "AB\u0130, x", "ing"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 25))) for _ in range(4000)]
+    ids, starts = records.encode(pa.array(texts), None)
+    own = Tokenizer.from_file(records.default_vocabulary())
+    for k, e in enumerate(own.encode_batch(texts, add_special_tokens=False)):
+        assert ids[starts[k] : starts[k + 1]].tolist() == [*e.ids, 2], texts[k]
+
+
+def test_a_vocabulary_of_another_kind():
+    """Its texts are encoded whole."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), ["two  spaces, and\nlines", "", "A.B"]
+    ids, starts = records.encode(pa.array(texts), path)
+    own = Tokenizer.from_file(path)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_recall_of_bands():
+    """Pairs at exactly the least similarity share a band."""
+    import numpy as np
+
+    rng, missed = np.random.default_rng(0), 0
+    for size in (4, 16, 40, 100, 400):
+        common, apart = 3 * size // 4, size // 4  # 3 / 4 of the union
+        for _ in range(200):
+            both = rng.integers(0, 1 << 63, common, dtype=np.uint64)
+            a, b = both, np.concatenate([both, rng.integers(0, 1 << 63, apart, dtype=np.uint64)])
+            low = minhash.minima(np.concatenate([a, b]), np.array([0, len(a)])).reshape(2, minhash.BANDS, minhash.ROWS)
+            missed += not (low[0] == low[1]).all(axis=1).any()
+    assert missed == 0
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies just under and over the least similarity, in squares of few tests."""
+    import random
+
+    monkeypatch.setattr(minhash, "MEETINGS", 50)
+    draw = random.Random(5)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for at in draw.sample(range(120), draw.randint(1, 9)):
+            w[at] = f"n{k}_{at}"
+        rows.append((k, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(minhash.near_duplicates(frame)) == want(brute.near_duplicates(rows))
+
+
 def test_capitals_before_combining_marks(spark):
     """Of these letters only the small one has a composed form, so lower case comes after composing; a special token near by changes nothing."""
     from tokenizers import Tokenizer

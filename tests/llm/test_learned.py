@@ -68,20 +68,51 @@ def test_sum_of_squares_identity():
     assert np.isclose(quality.margin(model, np.zeros(4, int), cols, x, 1)[0], model.w0 + model.w[cols] @ x + pairs)
 
 
-def test_media(docs, empty):
-    rows = {(r.doc_id, r.payload_sha256): r for r in media.media_digest(docs).collect()}
+def test_media(spark, docs, empty, tmp_path):
     want = docs.select("doc_id", "text").collect()
+    rows = {(r.doc_id, r.payload_sha256): r for r in media.media_columns(docs).collect()}
     for doc_id, text in want:
         raw = (text or "").encode()
         payload = raw + b" " * (max(1, math.ceil(len(raw) / 192)) * 192 - len(raw))
         r = rows[doc_id, hashlib.sha256(payload).hexdigest()]
         wav = media.wav_encode(payload)
+        blocks, spans, segments = media.sound_features(wav)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest()) and media.wav_decode(wav) == (16000, payload)
-    assert media.media_digest(docs).count() == len(want) and media.media_digest(empty).count() == 0
-    full = media.media_columns(docs.where("doc_id = 8")).first()
-    assert len(full.tensors[0].log_mel) == media.TENSOR_FRAMES * media.MELS and full.tensors[0].end_ms > 0
-    assert media.media_columns(empty).count() == 0
+        assert r.feature == f"tensors={len(blocks)}x64x16;span_ms={spans[-1][1]};segments={len(segments)};voiced_ms={sum(b - a for a, b in segments)};sha256={hashlib.sha256(blocks.tobytes()).hexdigest()}"
+    assert media.media_columns(docs).count() == len(want) and media.media_columns(empty).count() == 0
+
+
+def test_stored_media(docs, tmp_path):
+    """The files hold fixed-shape tensors with their spans."""
+    import pyarrow.parquet as pq
+
+    files = media.store_media(docs.coalesce(1), f"file://{tmp_path}/m").collect()
+    path = files[0].path.removeprefix("file://")
+    table = pq.read_table(f"{path}.tensors.parquet")
+    assert table.schema.field("log_mel").type == media.tensor_type() and table.column("log_mel").type.shape == [64, 16]
+    read = list(media.read_media(files[0].path))
+    assert len(read) == files[0].n_rows == docs.count() and sum(len(r[3]) for r in read) == table.num_rows
+    assert all((r[3] == media.sound_features(r[2])[0]).all() and len(r[4]) == len(r[3]) for r in read)
+
+
+def test_features_of_a_long_sound_in_little_memory():
+    import tracemalloc
+
+    sound = media.wav_encode(np.random.default_rng(0).integers(0, 255, 4 << 20, dtype=np.uint8).tobytes())
+    tracemalloc.start()
+    blocks, spans, _ = media.sound_features(sound)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and len(blocks) == len(spans) == -(-((4 << 20) // 2 - 128) // 128 // 64)
+
+
+def test_blocks_change_nothing(monkeypatch):
+    x = np.random.default_rng(1).integers(0, 255, 9000, dtype=np.uint8)
+    whole = media.log_mel(x, 16000)
+    monkeypatch.setattr(media, "BLOCK_FRAMES", 3)
+    for a, b in zip(whole, media.log_mel(x, 16000), strict=True):
+        assert np.allclose(a, b, atol=1e-4)
 
 
 def test_resampling_and_segments():
