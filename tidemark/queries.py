@@ -5,8 +5,13 @@ Sums of doubles depend on their order, so both sides round them.
 
 from __future__ import annotations
 
+import math
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +21,14 @@ from tidemark.operators import histogram as H
 from tidemark.operators import stats as A
 from tidemark.operators import timeaxis as X
 from tidemark.operators import xy as C
-from tidemark.operators.downsample import drawn, envelope_points, overview
-from tidemark.plans.expression import Registry, UserFunction
+from tidemark.operators.downsample import drawn, envelope_points, format_interval, format_rate, overview
+from tidemark.plans.derived import classify, dependency_order
+from tidemark.plans.expression import Compiler, Registry, UserFunction, check_calls, expression_margin
 from tidemark.sources import series as R
+from tidemark.sources.export import build_plan, export_parquet, plan_from_view, write_buckets
+from tidemark.sources.stores import View, load_view, save_view
+from tidemark.sources.tables import TableStore, parse_table
+from tidemark.streaming.buckets import stream_buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -119,7 +129,27 @@ _i, _s, _t = "(CASE WHEN q >= 25 THEN 2 ELSE 1 END)", "((q - (CASE WHEN q >= 25
 _expressions("map_bilinear", {"a": "surface(l_quantity, l_discount)"}, {"a": f"(([1.0, 2.0, 4.0])[{_i}] * (1 - {_s}) + ([1.0, 2.0, 4.0])[{_i} + 1] * {_s}) * (1 - {_t}) + (([3.0, 5.0, 9.0])[{_i}] * (1 - {_s}) + ([3.0, 5.0, 9.0])[{_i} + 1] * {_s}) * {_t}"}, _tables)
 
 
-@query()
+def _spline_sql(v: str, x: tuple[float, ...], y: tuple[float, ...]) -> str:
+    """Natural cubic pieces in powers, their coefficients from one linear system."""
+    n = len(x) - 1
+    rows, right = np.zeros((4 * n, 4 * n)), np.zeros(4 * n)
+    power = lambda t, d: [(0 if k < d else math.prod(range(k - d + 1, k + 1)) * t ** (k - d)) for k in range(4)]
+    at = 0
+    for k in range(n):
+        h = x[k + 1] - x[k]
+        for t, value in ((0.0, y[k]), (h, y[k + 1])):
+            rows[at, 4 * k : 4 * k + 4], right[at] = power(t, 0), value
+            at += 1
+        for d in (1, 2) if k < n - 1 else ():
+            rows[at, 4 * k : 4 * k + 4], rows[at, 4 * k + 4 : 4 * k + 8] = power(h, d), [-p for p in power(0.0, d)]
+            at += 1
+    rows[at, :4], rows[at + 1, -4:] = power(0.0, 2), power(x[-1] - x[-2], 2)
+    c = np.linalg.solve(rows, right).reshape(n, 4)
+    piece = lambda k: " + ".join(f"{float(c[k][p])!r}::DOUBLE * ({v} - {x[k]}) ** {p}" for p in range(4))
+    return "CASE " + " ".join(f"WHEN {v} >= {x[k]} THEN {piece(k)}" for k in reversed(range(n))) + " END"
+
+
+@query(f"SELECT l_orderkey AS k, l_linenumber AS n, round({_spline_sql('l_quantity', _X, _Y)}, 6) AS a FROM lineitem")
 def curve_spline(spark, sf_dir):
     s = lines(spark, sf_dir, "l_quantity", "l_orderkey", "l_linenumber").derive({"a": "spline(l_quantity)"}, _tables)
     return s.df.select(F.col("l_orderkey").cast("long").alias("k"), F.col("l_linenumber").cast("int").alias("n"), F.round("a", 6).alias("a"))
@@ -415,22 +445,315 @@ def alias_select(spark, sf_dir):
     return s.df.select(F.col("event_id").cast("long").alias("k"), "level")
 
 
-@query()
-def schema_numeric(spark, sf_dir):
-    rows = [(t, *r) for t in ("events", "lineitem", "documents", "embeddings") for r in R.schema_listing(spark.read.parquet(f"{sf_dir}/{t}.parquet"))]
-    return spark.createDataFrame(rows, "source string, name string, type string, stamp boolean, computable boolean")
+_KINDS = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' END"
 
 
-@query()
-def draw_lttb(spark, sf_dir):
-    x, y = drawn(events(spark, sf_dir), "value", 400)
-    return spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "t double, v double")
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, column_name AS name, {_KINDS} AS type, column_type = 'TIMESTAMP' AS stamp, column_type NOT IN ('VARCHAR', 'FLOAT[]') AS computable FROM (DESCRIBE {t})" for t in ("events", "lineitem", "orders", "part")))
+def schema_numeric(spark, sf_dir):
+    rows = [(t, *r) for t in ("events", "lineitem", "orders", "part") for r in R.schema_listing(spark.read.parquet(f"{sf_dir}/{t}.parquet"))]
+    return spark.createDataFrame(rows, "source string, name string, type string, stamp boolean, computable boolean")
 
 
 @query()
 def navigator(spark, sf_dir):
     return overview(events(spark, sf_dir), "value", 400)
 
+# tables as functions: other interpolations, empty cells and what lies beyond the axes
+
+
+def _cells(v: str, axis: list[float]) -> tuple[str, str]:
+    """(number from 1 of the cell of v, its share) in SQL, v clamped."""
+    inner = axis[1:-1]
+    k = "CASE " + " ".join(f"WHEN {v} >= {e} THEN {j + 2}" for j, e in reversed(list(enumerate(inner)))) + " ELSE 1 END" if inner else "1"
+    at = f"({axis})[{k}]"
+    return f"({k})", f"((least(greatest({v}, {axis[0]}), {axis[-1]}) - {at}) / (({axis})[({k}) + 1] - {at}))"
+
+
+_GX, _GY, _GZ = [0.0, 20.0, 30.0, 50.0], [0.0, 0.04, 0.1], [[1.0, 2.0, 4.0, 8.0], [3.0, 5.0, 9.0, 7.0], [2.0, 6.0, 1.0, 0.0]]
+_FX, _FY = [10.0, 20.0, 30.0, 40.0], [1.0, 3.0, -2.0, 5.0]
+_more = Registry(
+    tables={f"map_{m}": Table("map", tuple(_GX), tuple(map(tuple, _GZ)), tuple(_GY), m) for m in ("nearest", "previous")}
+    | {f"out_{o}": Table("curve", tuple(_FX), tuple(_FY), None, "linear", (o, o)) for o in ("clamp", "zero", "nan", "linear")}
+    | {"holes": Table("curve", tuple(_FX), (1.0, float("nan"), -2.0, 5.0)), "even": Table("curve", tuple(10.0 * k for k in range(6)), (0.0, 1.0, 4.0, 9.0, 16.0, 25.0))}
+)
+_gi, _gs = _cells("q", _GX)
+_gj, _gt = _cells("d", _GY)
+for _how, _from in (("nearest", 0.5), ("previous", 1.0)):
+    _expressions(f"map_{_how}", {"a": f"map_{_how}(l_quantity, l_discount)"}, {"a": f"({_GZ})[{_gj} + CASE WHEN {_gt} >= {_from} THEN 1 ELSE 0 END][{_gi} + CASE WHEN {_gs} >= {_from} THEN 1 ELSE 0 END]"}, _more)
+_fk, _fs_ = _cells("q", _FX)
+_lin = f"(({_FY})[{_fk}] * (1 - {_fs_}) + ({_FY})[{_fk} + 1] * {_fs_})"
+_expressions(
+    "curve_outside",
+    {"a": "out_clamp(l_quantity)", "b": "out_zero(l_quantity)", "c": "out_nan(l_quantity)", "d": "out_linear(l_quantity)"},
+    {"a": _lin, "b": f"CASE WHEN q < 10 OR q > 40 THEN 0 ELSE {_lin} END", "c": f"CASE WHEN q < 10 OR q > 40 THEN 'nan'::DOUBLE ELSE {_lin} END", "d": f"CASE WHEN q < 10 THEN 1 + (q - 10) * 0.2 WHEN q > 40 THEN 5 + (q - 40) * 0.7 ELSE {_lin} END"},
+    _more,
+)
+_expressions("curve_empty_cell", {"a": "holes(l_quantity)"}, {"a": "CASE WHEN q <= 10 THEN 1 WHEN q < 30 THEN 'nan'::DOUBLE WHEN q >= 40 THEN 5 ELSE -2 + (q - 30) * 0.7 END"}, _more)
+_expressions("curve_even_axis", {"a": "even(l_quantity)"}, {"a": "floor(least(q, 49.999999) / 10) ** 2 + (q / 10 - floor(least(q, 49.999999) / 10)) * (2 * floor(least(q, 49.999999) / 10) + 1)"}, _more)
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, round(least(greatest(CASE WHEN l_quantity < 20 THEN 1 + (l_quantity - 5) / 15.0 ELSE 2 + (l_quantity - 20) / 15.0 * 2 END, 1), 4), 6) AS a FROM lineitem")
+def table_store(spark, sf_dir):
+    """A curve from CSV text into a store, out of it again, and used."""
+    with tempfile.TemporaryDirectory() as folder:
+        store = TableStore(folder)
+        store.put("gain", parse_table("x,y\n5,1\n20,2\n35,4\n"))
+        gain = TableStore(folder).load_all()[0]["gain"]
+    s = lines(spark, sf_dir, "l_quantity", "l_orderkey", "l_linenumber").derive({"a": "gain(l_quantity)"}, Registry(tables={"gain": gain}))
+    return s.df.select(F.col("l_orderkey").cast("long").alias("k"), F.col("l_linenumber").cast("int").alias("n"), F.round("a", 6).alias("a"))
+
+
+_CSV = {"fine": "x,y\n1,2\n2,3", "width": "x,y\n1,2\n2,3,4", "descending": "1,2\n1,3", "word": "1,2\n3,x", "hole": "1,2\n,3", "map": ",1,2\n5,1,2\n6,3,", "none": ""}
+
+
+@query("SELECT * FROM (VALUES ('fine', true, 'curve'), ('width', false, NULL), ('descending', false, NULL), ('word', false, NULL), ('hole', false, NULL), ('map', true, 'map'), ('none', false, NULL)) v(name, ok, kind)")
+def table_checks(spark, sf_dir):
+    """Which texts are tables, and of what kind."""
+    rows = []
+    for name, text in _CSV.items():
+        try:
+            rows.append((name, True, parse_table(text).kind))
+        except ValueError:
+            rows.append((name, False, None))
+    return spark.createDataFrame(rows, "name string, ok boolean, kind string")
+
+
+# expressions that are refused, margins, and the order of derived variables
+
+_TEXTS = {"v + 1": "", "v +": "ExpressionError", "import os": "ExpressionError", "v.real": "ExpressionError", "missing(v)": "UnknownFunctionError", "clip(v)": "ExpressionError", "rolling_mean(v, 0)": "ExpressionError", "rolling_mean(v, v)": "ExpressionError", "[v]": "ExpressionError", "v if v > 1 else -v": ""}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{w}')" for t, w in _TEXTS.items()) + ") v(text, refusal)")
+def expression_checks(spark, sf_dir):
+    rows = []
+    for text in _TEXTS:
+        try:
+            check_calls(text, Registry())
+            Compiler({"v": F.lit(1.0)}).compile(text)
+            rows.append((text, ""))
+        except ValueError as error:
+            rows.append((text, type(error).__name__))
+    return spark.createDataFrame(rows, "text string, refusal string")
+
+
+@query("SELECT * FROM (VALUES ('v', 0, 0), ('delta(v)', 1, 0), ('rolling_mean(v, 5)', 2, 2), ('trailing_mean(v, 4)', 3, 0), ('trailing_mean(rolling_mean(v, 5), 4)', 5, 2)) v(text, before, after)")
+def expression_margins(spark, sf_dir):
+    texts = ["v", "delta(v)", "rolling_mean(v, 5)", "trailing_mean(v, 4)", "trailing_mean(rolling_mean(v, 5), 4)"]
+    return spark.createDataFrame([(t, *map(int, expression_margin(t, ["v"]))) for t in texts], "text string, before int, after int")
+
+
+_DERIVED = {"c": "a + b", "a": "value * 2", "b": "a + 1", "d": "nothing + 1", "e": "f", "f": "e", "g": "value +"}
+
+
+@query("SELECT * FROM (VALUES ('a', true), ('b', true), ('c', true), ('d', false), ('e', false), ('f', false), ('g', false)) v(variable, usable)")
+def view_usability(spark, sf_dir):
+    """Which derived variables of a view can be used with the log's columns."""
+    found = classify(_DERIVED, spark.read.parquet(f"{sf_dir}/events.parquet").columns, "ts")
+    return spark.createDataFrame([(n, why is None) for n, why in found.items()], "variable string, usable boolean")
+
+
+@query("SELECT * FROM (VALUES (0, 'a'), (1, 'b'), (2, 'c')) v(place, variable)")
+def derived_order(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(dependency_order({n: _DERIVED[n] for n in "cab"}))), "place int, variable string")
+
+
+# distributions that choose their bins, of buckets, by time, as shares
+
+
+@query(f"""WITH {EV}, b AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM ev),
+f AS (SELECT greatest(0, least(65535, floor((value / 2 - lo / 2) * (65536 / (hi / 2 - lo / 2)))))::BIGINT AS fine, count(*) AS c FROM ev, b GROUP BY 1),
+cum AS (SELECT fine, c, sum(c) OVER (ORDER BY fine) AS upto, n FROM f, b),
+q AS (SELECT min((fine + 1 - (upto - 0.25 * n) / c) / 65536) FILTER (upto >= 0.25 * n) AS q1, min((fine + 1 - (upto - 0.75 * n) / c) / 65536) FILTER (upto >= 0.75 * n) AS q3 FROM cum)
+SELECT 'value' AS variable, least(1000, greatest(2, ceil(1 / (2 * (q3 - q1) / cbrt(n)))))::BIGINT AS bins, n::DOUBLE AS amount FROM q, b""")
+def hist_free_bins(spark, sf_dir):
+    return H.plain_histogram(events(spark, sf_dir), ["value"])[0].groupBy("variable").agg(F.count(F.lit(1)).alias("bins"), F.sum("amount").alias("amount"))
+
+
+@query(f"""WITH {HELD}, b AS (SELECT min(v) AS lo, max(v) AS hi FROM held),
+f AS (SELECT greatest(0, least(65535, floor((v / 2 - lo / 2) * (65536 / (hi / 2 - lo / 2)))))::BIGINT AS fine, sum(w) AS w, any_value(lo) AS lo, any_value(hi) AS hi FROM held, b GROUP BY 1),
+c AS (SELECT *, sum(w) OVER (ORDER BY fine) AS upto, sum(w) OVER () AS total FROM f WHERE w > 0),
+m AS (SELECT arg_min((fine + 1 - (upto - total / 2) / w) / 65536, fine) AS share, any_value(lo) AS lo, any_value(hi) AS hi FROM c WHERE upto >= total / 2),
+s AS (SELECT sum(v * w) / sum(w) AS mean FROM held)
+SELECT 'value' AS variable, (SELECT count(*) FROM ev) AS n, round(any_value(mean), 6) AS mean, round(sqrt((SELECT sum(w * (v - mean) ** 2) / sum(w) FROM held, s)), 6) AS std, round(any_value(lo * (1 - share) + hi * share), 6) AS median FROM m, s""")
+def hist_time_summary(spark, sf_dir):
+    """Mean, spread and median by time."""
+    return rounded(H.plain_histogram(events(spark, sf_dir), ["value"], "time", 10)[1], "mean", "std", "median").select("variable", "n", "mean", "std", "median")
+
+
+@query(f"WITH {EV}, s AS (SELECT value AS x, 1.0::DOUBLE AS w FROM ev), h AS (WITH {_fine_sql('s', 8)}) SELECT variable, bin, round(100 * amount / sum(amount) OVER (), 6) AS percent FROM h")
+def hist_percent(spark, sf_dir):
+    return rounded(H.percent(H.plain_histogram(events(spark, sf_dir), ["value"], bins=8)[0]).select("variable", "bin", "percent"), "percent")
+
+
+@query(_bucket_sql("mean", 21600, 0, 3600.0, only="""SELECT 'value' AS variable, k::INT AS bin, round(lo + (hi - lo) * k / 6, 6) AS lo, round(lo + (hi - lo) * (k + 1) / 6, 6) AS hi, count(value) AS n
+FROM (SELECT min(value) AS lo, max(value) AS hi FROM res WHERE complete) CROSS JOIN range(6) q(k) LEFT JOIN (SELECT value FROM res WHERE complete) r ON least(5, floor((value - lo) / (hi - lo) * 6)) = k GROUP BY k, lo, hi"""))
+def bucket_distribution(spark, sf_dir):
+    table = H.bucket_table(events(spark, sf_dir), ["value"], H.BucketSettings(X.DAY / 4))
+    return rounded(H.bucket_distribution(table, 6), "lo", "hi")
+
+
+@query(f"""WITH {HELD}, o AS (SELECT floor(min(t) / 86400) * 86400 AS e0, min(t) AS t0, max(t) AS t1 FROM ev),
+k AS (SELECT e0 + k * 86400.0::DOUBLE AS s FROM o, range((SELECT floor((t1 - e0) / 86400)::BIGINT + 1 FROM o)) r(k)),
+q AS (SELECT s, s AS a, s + 21600 AS z FROM k UNION ALL SELECT s, s + 79200, s + 86400 FROM k),
+p AS (SELECT s, x, v, greatest(x, a) AS pt, least(x + w, z) AS en FROM held JOIN q ON (x < z AND x + w > a) OR (x >= a AND x < z)),
+m AS (SELECT s, sum(v * (en - pt)) / nullif(sum(en - pt), 0) AS value, sum(en - pt) AS valid FROM p GROUP BY s)
+SELECT 'value' AS variable, k.s AS bucket_start, k.s + 86400 AS bucket_end, round(value, 5) AS value, coalesce(value IS NOT NULL AND valid / 28800 >= 0.9, false) AS complete, NULL::DOUBLE AS "at" FROM k LEFT JOIN m USING (s)""")
+def filter_midnight(spark, sf_dir):
+    """From 22:00 over midnight until 06:00."""
+    return rounded(H.bucket_table(events(spark, sf_dir), ["value"], H.BucketSettings(time_filter=X.TimeFilter(22 * 3600, 6 * 3600))), "value", "at", digits=5)
+
+
+#: A zone behind UTC by a whole number of hours over the events' time; its days begin five hours later.
+_WEST = 5 * 3600
+
+
+@query(_bucket_sql("mean", X.DAY, _WEST, 3600.0))
+def bucket_zone(spark, sf_dir):
+    return rounded(H.bucket_table(events(spark, sf_dir), ["value"], H.BucketSettings(zone=X.Zone("America/New_York"))), "value", "at", digits=5)
+
+
+@query("SELECT * FROM (VALUES (1709960400.0::DOUBLE), (1710046800.0), (1710129600.0), (1710216000.0)) v(edge)")
+def zone_edges(spark, sf_dir):
+    """Days of New York around the night in March 2024 that has 23 hours."""
+    return spark.createDataFrame([(e,) for e in X.bucket_edges(1709961000.0, 1710200000.0, X.DAY, 0, X.Zone("America/New_York"))], "edge double")
+
+
+@query("SELECT * FROM (VALUES (1710050400.0::DOUBLE, 1710054000.0::DOUBLE), (1710136800.0, 1710140400.0)) v(begun, ended)")
+def zone_filter(spark, sf_dir):
+    """01:00 to 03:00 in that night, of which the second hour doesn't exist, and 02:00 to 03:00 in the next."""
+    first = X.target_intervals(X.TimeFilter(3600, 3 * 3600), 1710046800.0, 1710129600.0, X.Zone("America/New_York"))
+    second = X.target_intervals(X.TimeFilter(2 * 3600, 3 * 3600), 1710129600.0, 1710216000.0, X.Zone("America/New_York"))
+    return spark.createDataFrame(first + second, "begun double, ended double")
+
+
+# grids: uneven and nice axes, filling, levels
+
+_UX = [2.0, 5.0, 13.0, 30.0, 48.0]
+
+
+@query(f"""WITH e AS (SELECT unnest({[float(e) for e in G.cell_edges(_UX)[:-1]]}) AS e, unnest(range(5)) AS k),
+p AS (SELECT (SELECT max(k) FROM e WHERE e <= l_quantity)::INT AS ix, l_tax FROM lineitem WHERE l_quantity >= {float(G.cell_edges(_UX)[0])} AND l_quantity < {float(G.cell_edges(_UX)[-1])})
+SELECT 'l_tax' AS variable, i::INT AS ix, ({_UX})[i + 1]::DOUBLE AS x, round(median(l_tax), 6) AS value, count(l_tax) AS n FROM range(5) a(i) LEFT JOIN p ON ix = i GROUP BY i""")
+def grid_uneven_axis(spark, sf_dir):
+    return rounded(G.grid_curve(lines(spark, sf_dir, "l_quantity", "l_tax"), "l_quantity", ["l_tax"], _UX, "median"), "value")
+
+
+@query("SELECT 'step' AS axis, k::INT AS place, round(-1 + k * 0.25, 9) AS point FROM range(9) s(k) UNION ALL SELECT 'count', k::INT, round(k * 2.5, 9) FROM range(5) s(k) UNION ALL SELECT 'nice', k::INT, round(k * 0.5, 9) FROM range(19) s(k)")
+def grid_axes(spark, sf_dir):
+    specs = {"step": G.AxisSpec("step", -1, 1.1, 0.25), "count": G.AxisSpec("count", 0, 10, count=5), "nice": G.nice_axis(0.2, 8.7)}
+    return rounded(spark.createDataFrame([(n, k, float(p)) for n, a in specs.items() for k, p in enumerate(a.points())], "axis string, place int, point double"), "point", digits=9)
+
+
+_FILL = f"WITH {_placed}, g AS (SELECT ix, iy, x, y, CASE WHEN count(v) >= 900 THEN avg(v) END AS z FROM c LEFT JOIN p USING (ix, iy) GROUP BY ix, iy, x, y)"
+query(f"""{_FILL}, near AS (SELECT a.ix, a.iy, arg_min(b.z, ((a.ix - b.ix) ** 2 + (a.iy - b.iy) ** 2) * 1000 + b.iy * {len(XA)} + b.ix) AS z FROM g a, g b WHERE b.z IS NOT NULL GROUP BY a.ix, a.iy)
+SELECT g.ix, g.iy, x, y, round(near.z, 4) AS value, g.z IS NULL AS filled FROM g JOIN near USING (ix, iy)""", "grid_fill_nearest")(QUERIES["grid_fill_nearest"])
+
+
+@query("SELECT * FROM (VALUES ('nice', 20.0::DOUBLE), ('nice', 40.0), ('nice', 60.0), ('nice', 80.0), ('step', 30.0), ('step', 60.0), ('step', 90.0), ('list', 7.5), ('none', NULL)) v(how, level)")
+def contour_levels(spark, sf_dir):
+    made = {"nice": G.plan_levels(3.0, 97.0, None)[1::2], "step": G.plan_levels(3.0, 97.0, 30.0), "list": G.plan_levels(3.0, 97.0, values=[7.5, 97.0, 200.0]), "none": G.plan_levels(5.0, 5.0) or [None]}
+    return spark.createDataFrame([(n, v) for n, vs in made.items() for v in vs], "how string, level double")
+
+
+@query("SELECT 1.5::DOUBLE AS level, x0, y0, x1, y1 FROM (VALUES (0.5::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE, 0.0::DOUBLE)) v(x0, y0, x1, y1)")
+def contour_plane(spark, sf_dir):
+    """The level 1.5 of x + y over one square runs from the upper side to the right one."""
+    segments = G.contour_segments([0.0, 2.0], [0.0, 1.0], np.array([[0.0, 2.0], [1.0, 3.0]]), 1.5)
+    rows = [(1.5, *map(float, s if s[0] < s[2] else (s[2], s[3], s[0], s[1]))) for s in segments]
+    return spark.createDataFrame(rows, "level double, x0 double, y0 double, x1 double, y1 double")
+
+
+# drawing, spectra, text
+
+
+query(f"WITH {EV}, b AS (SELECT min(t) AS t, min(value) AS lo, max(value) AS hi FROM ev, (SELECT greatest(8192, ceil(2 * count(*) / 400.0)::BIGINT) AS n FROM ev) GROUP BY r // n) SELECT t, lo AS v FROM b UNION SELECT t, hi FROM b UNION SELECT t, value FROM ev WHERE r IN (0, (SELECT max(r) FROM ev))", "navigator")(QUERIES["navigator"])
+
+
+def _lttb_sql(n: int) -> str:
+    """The points one after the other: each is chosen when the one before is known."""
+    return f"""WITH RECURSIVE {EV}, n AS (SELECT count(*) AS n FROM ev),
+cut AS (SELECT k, floor(1 + k * ((n - 2) / {n - 2}.0::DOUBLE))::BIGINT AS a FROM n, range({n - 1}) s(k)),
+bk AS (SELECT c.k, c.a, d.a AS b FROM cut c JOIN cut d ON d.k = c.k + 1 UNION ALL SELECT {n - 2}, n - 1, n FROM n),
+mean AS (SELECT k, avg(t) AS mt, avg(value) AS mv FROM bk JOIN ev ON r >= a AND r < b GROUP BY k),
+pick AS (SELECT -1::BIGINT AS k, 0::BIGINT AS r, t, value FROM ev WHERE r = 0
+UNION ALL SELECT p.k + 1, x.r, x.t, x.value FROM pick p, LATERAL (SELECT e.r, e.t, e.value FROM ev e, bk, mean m WHERE bk.k = p.k + 1 AND m.k = p.k + 2 AND e.r >= bk.a AND e.r < bk.b ORDER BY abs((p.t - m.mt) * (e.value - p.value) - (p.t - e.t) * (m.mv - p.value)) DESC, e.r LIMIT 1) x WHERE p.k < {n - 3})
+SELECT round(t, 6) AS t, value AS v FROM pick UNION ALL SELECT round(t, 6), value FROM ev WHERE r = (SELECT n - 1 FROM n)"""
+
+
+for _name, _n in (("draw_lttb", 60), ("draw_lttb_few", 12)):
+
+    def _lttb(spark: SparkSession, sf_dir: str, n: int = _n) -> DataFrame:
+        x, y = drawn(events(spark, sf_dir), "value", n)
+        return rounded(spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "t double, v double"), "t")
+
+    query(_lttb_sql(_n), _name)(_lttb)
+
+
+@query("WITH v AS (SELECT p_partkey AS t, p_retailprice AS y FROM part WHERE p_partkey < 128) SELECT round(f / 128.0, 9) AS frequency, round(sqrt(sum(y * cos(2 * pi() * f * t / 128)) ** 2 + sum(y * sin(2 * pi() * f * t / 128)) ** 2) / 128, 6) AS amplitude FROM v, range(65) s(f) GROUP BY f")
+def spectrum(spark, sf_dir):
+    s = R.load_series(spark, f"{sf_dir}/part.parquet", "p_partkey", ["p_retailprice"]).rows(0, 128)
+    return rounded(rounded(A.spectrum_of(s, "p_retailprice"), "amplitude"), "frequency", digits=9)
+
+
+@query("SELECT * FROM (VALUES (0.01::DOUBLE, '10 ms', '0.01 Hz'), (120.0, '2 min', '120 Hz'), (1234.5, '20.6 min', '1.23 kHz'), (0.0, '—', '—'), (-1.0, '—', '—')) v(x, interval_text, rate_text)")
+def sampling_text(spark, sf_dir):
+    return spark.createDataFrame([(x, format_interval(x), format_rate(x)) for x in (0.01, 120.0, 1234.5, 0.0, -1.0)], "x double, interval_text string, rate_text string")
+
+
+@query("SELECT * FROM (VALUES ('z', 1, true, 'z'), ('z', 2, true, 'series'), ('z', 1, false, 'series'), ('time', 1, false, 'time'), ('time', 2, false, 'series'), ('series', 1, true, 'series')) v(wanted, ys, has_z, got)")
+def xy_color_rule(spark, sf_dir):
+    cases = [("z", 1, True), ("z", 2, True), ("z", 1, False), ("time", 1, False), ("time", 2, False), ("series", 1, True)]
+    return spark.createDataFrame([(w, n, z, C.effective_color(w, n, "z" if z else None)) for w, n, z in cases], "wanted string, ys int, has_z boolean, got string")
+
+
+# what is written is read again
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the session names for checkpoints, else a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/export-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp()}/export"
+
+
+@query(f"WITH {IN_RANGE} SELECT event_id AS k, rg.value AS v, round((rg.value * 2)::FLOAT::DOUBLE, 4) AS twice FROM rg JOIN events e ON e.event_id = (SELECT min(event_id) FROM events) + rg.r")
+def export_range(spark, sf_dir):
+    """A range with a raw and a derived column, as float32, written to Parquet."""
+    s = events(spark, sf_dir)
+    t0 = s.df.agg(F.min("_t")).first()[0]
+    plan = build_plan(spark, f"{sf_dir}/events.parquet", ["event_id", "value", "twice"], {"twice": "value * 2"}, "ts", x_range=(t0 + RANGE[0] * X.DAY, t0 + RANGE[1] * X.DAY), float32=True)
+    export_parquet(spark, plan, path := _scratch(spark))
+    return spark.read.parquet(path).select(F.col("event_id").alias("k"), F.col("value").alias("v"), F.round(F.col("twice").cast("double"), 4).alias("twice"))
+
+
+@query("SELECT event_id AS k, round(value / 2, 6) AS half FROM events")
+def export_view(spark, sf_dir):
+    """All that a saved view shows, but for what can't be used."""
+    with tempfile.TemporaryDirectory() as folder:
+        view = View("shown", f"{sf_dir}/events.parquet", "ts", {"half": "value / 2", "bad": "nothing + 1"}, [["event_id", "half"], ["bad"]])
+        view = load_view(save_view(folder, view))
+    plan, left = plan_from_view(spark, view)
+    export_parquet(spark, plan, path := _scratch(spark))
+    return spark.read.parquet(path).select(F.col("event_id").alias("k"), F.round("half", 6).alias("half"))
+
+
+@query(_bucket_sql("max", X.DAY, 0, 3600.0, only="SELECT count(*) AS buckets, round(max(value), 5) AS top FROM res"))
+def export_buckets(spark, sf_dir):
+    table = H.bucket_table(events(spark, sf_dir), ["value"], H.BucketSettings(agg="max"))
+    write_buckets(spark, table, path := _scratch(spark))
+    got = spark.read.parquet(path)
+    value = next(c for c in got.columns if c.startswith("value"))
+    return got.agg(F.count(F.lit(1)).alias("buckets"), F.round(F.max(F.col(f"`{value}`")), 5).alias("top"))
+
+
+@query("SELECT epoch_us(date_trunc('day', ts)) / 1e6 AS bucket_start, epoch_us(date_trunc('day', ts)) / 1e6 + 86400 AS bucket_end, count(*) AS n, round(sum(value), 5) AS total, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL")
+def stream_days(spark, sf_dir):
+    """Buckets of a stream that reads the log's files once, all windows closed."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parquet" if os.path.isdir(f"{sf_dir}/events.parquet") else f"{sf_dir}/event*.parquet")
+    name = f"days_{uuid.uuid4().hex}"
+    run = stream_buckets(stream, "ts", "value").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.table(name), "total", digits=5)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
