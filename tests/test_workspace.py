@@ -57,3 +57,18 @@ def test_queue():
     for k in range(3):
         full.add(Request(str(k), "v", 10))
     assert full.start_next() is None and [r.state for r in full.items] == ["no_room", "no_room", "stopped"]
+
+
+def test_what_a_view_says_besides(tmp_path):
+    """Colours, visibility, ranges and heights go through; hidden series are left out of what is drawn."""
+    import json
+
+    from tidemark.sources.stores import load_view, save_view
+
+    body = {"source": {"parquet_path": "x.parquet"}, "plots": [{"plot_id": 7, "height_ratio": 2.5, "x_linked": False, "y_axis_range": [0, 1], "series": [{"variable": "a", "color": "#123456", "visible": False}, {"variable": "b", "color": "#ff0000", "visible": True}]}]}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(body))
+    view = load_view(str(path))
+    assert view.visible_plots() == [["b"]]
+    again = json.loads(open(save_view(str(tmp_path), view)).read())
+    assert again["plots"] == body["plots"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +97,10 @@ def nearest_point(points: DataFrame, x: float, y: float, pixel: tuple[float, flo
     """The point of (x, y, ...) nearest to a place on the screen, within ``radius`` pixels of pixel = (width, height) units."""
     d2 = F.pow((F.col("x") - x) / pixel[0], F.lit(2)) + F.pow((F.col("y") - y) / pixel[1], F.lit(2))
     return points.withColumn("d2", d2).where(F.col("d2") <= radius**2).orderBy("d2", "_row").limit(1).drop("d2")
+
+
+def value_range(values: np.ndarray) -> tuple[float, float] | None:
+    """Least and greatest finite number of a lookup table, None if it has none."""
+    known = np.asarray(values, float)
+    known = known[np.isfinite(known)]
+    return (float(known.min()), float(known.max())) if len(known) else None

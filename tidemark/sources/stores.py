@@ -27,7 +27,11 @@ class ViewError(ValueError):
 
 @dataclass
 class View:
-    """What is shown of a log: derived variables, plots (their series), ranges."""
+    """What is shown of a log: derived variables, plots (their series), ranges.
+
+    looks: what else a saved plot says, for each plot (its ranges, height, link) and, under ``series``, for each of its series
+    (colour, visible). It goes through loading and saving as it is.
+    """
 
     name: str
     parquet_path: str
@@ -36,6 +40,19 @@ class View:
     plots: list[list[str]] = field(default_factory=list)
     x_range: tuple[float, float] | None = None
     downsample: bool = True
+    looks: list[dict] = field(default_factory=list)
+
+    def look(self, plot: int, series: int | None = None) -> dict:
+        """What is known of a plot, or of one of its series; nothing if there is nothing."""
+        found = self.looks[plot] if plot < len(self.looks) else {}
+        if series is None:
+            return {k: v for k, v in found.items() if k != "series"}
+        own = found.get("series", [])
+        return own[series] if series < len(own) else {}
+
+    def visible_plots(self) -> list[list[str]]:
+        """The plots without the series that are switched off."""
+        return [[v for j, v in enumerate(p) if self.look(k, j).get("visible", True)] for k, p in enumerate(self.plots)]
 
 
 def _want(value: object, kind: type | tuple, path: str) -> object:
@@ -52,7 +69,7 @@ def save_view(folder: str, view: View) -> str:
         "source": {"parquet_path": view.parquet_path, "relative_path": os.path.relpath(view.parquet_path, folder)},
         "time_column": view.time_column,
         "derived_variables": [{"name": n, "expression": e} for n, e in view.derived.items()],
-        "plots": [{"plot_id": k, "series": [{"variable": v} for v in p]} for k, p in enumerate(view.plots)],
+        "plots": [{"plot_id": k} | view.look(k) | {"series": [view.look(k, j) | {"variable": v} for j, v in enumerate(p)]} for k, p in enumerate(view.plots)],
         "x_axis_range": list(view.x_range) if view.x_range else None,
         "downsample": {"enabled": view.downsample},
     }
@@ -78,6 +95,7 @@ def load_view(path: str) -> View:
     for k, p in enumerate(_want(body.get("plots", []), list, "plots")):
         _want(p, dict, f"plots[{k}]")
         plots.append([_want(_want(s, dict, f"plots[{k}].series[{j}]").get("variable"), str, f"plots[{k}].series[{j}].variable") for j, s in enumerate(_want(p.get("series", []), list, f"plots[{k}].series"))])
+    looks = [{k: v for k, v in p.items() if k != "series"} | {"series": [{k: v for k, v in s.items() if k != "variable"} for s in p.get("series", [])]} for p in body.get("plots", [])]
     span = body.get("x_axis_range")
     if span is not None:
         if len(_want(span, list, "x_axis_range")) != 2:
@@ -89,7 +107,7 @@ def load_view(path: str) -> View:
         near = os.path.normpath(os.path.join(os.path.dirname(path), relative))
         where = near if os.path.exists(near) else where
     axis = body.get("time_column")
-    return View(str(body.get("view_name", Path(path).stem)), where, axis if axis is None else _want(axis, str, "time_column"), derived, plots, span, bool((body.get("downsample") or {}).get("enabled", True)))
+    return View(str(body.get("view_name", Path(path).stem)), where, axis if axis is None else _want(axis, str, "time_column"), derived, plots, span, bool((body.get("downsample") or {}).get("enabled", True)), looks)
 
 
 def list_views(folder: str) -> list[str]:
