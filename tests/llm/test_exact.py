@@ -59,11 +59,12 @@ def test_repeats_in_many_parts(docs, small, monkeypatch):
     from tidemark.llm import repeats, words
 
     monkeypatch.setattr(repeats, "GRAM_PART", 1 << 14)
-    monkeypatch.setattr(repeats, "STRETCH_PART", 1 << 14)
     monkeypatch.setattr(repeats, "BROADCAST_KEYS", -1)
     monkeypatch.setattr(words, "SLICE_BYTES", 1 << 12)
     for name, value in (("BLOCK_BYTES", 1 << 11), ("PART_PAIRS", 1 << 9), ("PIECE_WINDOWS", 70), ("CUT", 3)):
         monkeypatch.setattr(prefix_doubling, name, value)
+    for name, value in (("BLOCK_BYTES", 1 << 11), ("GROUP", 30), ("PART", 200), ("PIECE_WINDOWS", 40), ("CUT", 3)):
+        monkeypatch.setattr(suffix_trees, name, value)
     assert got(suffix_trees.remove_repeated_words(small)) == want(brute.repeated_words(rows_of(small)))
     assert got(prefix_doubling.remove_repeated_bytes(docs)) == want(brute.repeated_bytes(rows_of(docs)))
     few = small.where("doc_id < 60")

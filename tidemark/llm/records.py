@@ -6,6 +6,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -20,7 +21,7 @@ from tidemark.llm.words import slices, text_array
 
 END_ID = 2
 #: Distinct words whose ids a worker remembers; beyond that it begins anew.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Documents of one range of doc_ids, about, while there are at most RANGES of them; and of one file at most. Beyond RANGES
 #: ranges grow, and are sorted with spilling.
 RANGE_DOCS, RANGES, FILE_DOCS = 8192, 1 << 16, 65536
@@ -141,7 +142,7 @@ def encode(texts: pa.Array, path: str | None) -> tuple[np.ndarray, np.ndarray]:
     pieces = body.dictionary.to_pylist() + tail.dictionary.to_pylist()
     missing = list({p for p in pieces if p not in known})
     for word, got in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-        known[word] = np.array(got.ids, np.uint32).tobytes()
+        known[word] = array("I", got.ids).tobytes()
     blobs = [known[p] for p in pieces]
     starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)])
     code = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)

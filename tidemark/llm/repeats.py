@@ -4,8 +4,8 @@ A text is a run of units, bytes or words. Every window of LENGTH units has one a
 (the leftmost of equals): that depends on the window's content alone, so equal windows have equal anchors at equal places.
 Consecutive windows with the same anchor are a *stretch*. A window can only repeat if its anchor's gram is in another
 document. So grams are counted first, in packed form; only stretches with a shared gram are sent on, with their units, and
-sorted into parts by that gram; there a resolver finds equal windows exactly. Nothing is left to chance but equality of
-64-bit hashes of grams of the same text, which only ever adds candidates.
+cut into pieces for the operators to search. Nothing is left to chance here but equality of 64-bit hashes of grams, which only
+ever adds candidates.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from tidemark.llm.common import materialize
 from tidemark.llm.words import run_starts, slices
 
 LENGTH = 50
-#: Bytes of packed grams, and units of stretches, that one part holds, about.
-GRAM_PART, STRETCH_PART = 12 << 20, 2 << 20
+#: Bytes of packed grams that one part holds, about.
+GRAM_PART = 12 << 20
+_ZSTD = pa.Codec("zstd", compression_level=1)
 #: Keys of copies (8 bytes each) up to which their list is broadcast; beyond it is shuffled.
 BROADCAST_KEYS = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -32,17 +33,13 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class Units:
-    """gram: units of an anchor; split: texts to (units, starts); dtype: of a unit; mean: bytes of text of a unit, about.
-
-    resolve gets (units of all stretches, start of each, its windows, its document) and marks the windows, in order, whose
-    units also start in a document with a smaller id.
-    """
+    """gram: units of an anchor; mean: bytes of text of a unit, about; split: texts to (units, starts, what render needs);
+    render: (that, units, first unit of each piece, its length) to the pieces' contents."""
 
     gram: int
-    split: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
-    dtype: str
     mean: int
-    resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    split: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, object]]
+    render: Callable[[object, np.ndarray, np.ndarray, np.ndarray], pa.Array]
 
 
 def gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
@@ -160,7 +157,7 @@ def _send_grams(units: Units, n_parts: int):
         for batch in batches:
             for piece in slices(batch):
                 keys = piece.column("key").to_numpy(zero_copy_only=False)
-                s = stretches(*units.split(piece.column("text")), units.gram)
+                s = stretches(*units.split(piece.column("text"))[:2], units.gram)
                 ordinal = s.ordinals()
                 known, send = _shared_here(s, keys)
                 if len(known):
@@ -192,96 +189,48 @@ def _match_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[at[k : k + (1 << 16)]]), pa.array(ordinals[at[k : k + (1 << 16)]], pa.int32())], ["key", "ordinal"])
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start << 32 | end) of the unions of touching spans; spans come in order of document and start."""
-    if not len(doc):
-        return doc, np.zeros(0, np.int64)
-    big = np.int64(1) << 33
-    reach = np.maximum.accumulate(end + doc * big)
-    new = np.concatenate([[True], (start + doc * big)[1:] > reach[:-1]])
-    at = np.flatnonzero(new)
-    return doc[at], (start[at] << 32) | (reach[np.append(at[1:], len(doc)) - 1] - doc[at] * big)
-
-
-_SENT = ["part", "blob", "doc_id", "key", "spans"]
-
-
-def _answers(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, spans: np.ndarray) -> pa.RecordBatch | None:
-    if not len(doc):
-        return None
-    own, lists = _by_key(doc, spans)
-    return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[own]), lists], ["doc_id", "key", "spans"])
-
-
-def _send_stretches(units: Units, n_parts: int):
-    """Stretches with shared grams, units and all. Of equal ones in a slice those with larger ids are answered here."""
+def _pieces(units: Units, cut: int, most: int):
+    """The shared stretches of each text, next ones joined, cut before a stretch whose gram's hash says so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
-                keys, ids = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id"))
-                seq, starts = units.split(piece.column("text"))
+            for part in slices(batch):
+                keys, ids = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id"))
+                seq, starts, held = units.split(part.column("text"))
                 s = stretches(seq, starts, units.gram)
-                wanted = piece.column("ordinals")
-                docs = np.repeat(np.arange(piece.num_rows), np.diff(wanted.offsets.to_numpy()))
-                base = np.searchsorted(s.doc, np.arange(piece.num_rows))
-                at = np.unique(base[docs] + wanted.flatten().to_numpy(zero_copy_only=False))
-                doc, first, windows, h = s.doc[at], s.first[at], s.windows[at], s.h[at]
-                n = windows + LENGTH - 1
-                ends = np.cumsum(n)
-                flat = seq[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)].astype(units.dtype)
-                width = flat.itemsize
-                bodies = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((np.concatenate([[0], ends]) * width).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
-                code = bodies.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                least = np.full(code.max() + 1 if len(code) else 0, np.iinfo(np.int64).max)
-                np.minimum.at(least, code, ids[doc])
-                known = ids[doc] > least[code]
-                place = first - starts[doc]
-                got = _answers(ids, keys, *_spans(doc[known], place[known], place[known] + n[known]))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.abs(got.column("key").to_numpy() % n_parts)), pa.nulls(got.num_rows, pa.binary()), *got.columns], _SENT)
-                send = np.flatnonzero(~known)
-                part = (h[send] % np.uint64(n_parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                for k in np.split(send[order], run_starts(part[order])[1:]) if len(order) else []:
-                    body = pa.concat_arrays([bodies.take(pa.array(k))]).buffers()[2].to_pybytes()[: int(n[k].sum()) * width]
-                    blob = b"".join((np.array([len(k)], "<i8").tobytes(), ids[doc[k]].astype("<i8").tobytes(), keys[doc[k]].astype("<i8").tobytes(), place[k].astype("<u4").tobytes(), windows[k].astype("<u4").tobytes(), body))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(h[k[0]] % np.uint64(n_parts))]), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))], _SENT)
+                wanted = part.column("ordinals")
+                docs = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
+                at = np.unique(np.searchsorted(s.doc, np.arange(part.num_rows))[docs] + wanted.flatten().to_numpy(zero_copy_only=False))
+                if not len(at):
+                    continue
+                doc, first, h = s.doc[at], s.first[at], s.h[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) > 1) | (doc[1:] != doc[:-1]) | ((h[1:] % np.uint64(cut) == 0) & (h[1:] != h[:-1]))
+                new = np.flatnonzero(new)
+                begin, ends = first[new], np.append(new[1:], len(at)) - 1
+                count = first[ends] + s.windows[at][ends] - begin
+                # a piece of a text of few different units may be cut nowhere: it is cut by length
+                more = -(-count // most)
+                own = np.repeat(np.arange(len(new)), more)
+                nth = np.arange(len(own)) - np.repeat(np.cumsum(more) - more, more)
+                begin, n = begin[own] + nth * most, np.minimum(count[own] - nth * most, most) + LENGTH - 1
+                doc = doc[new][own]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(keys[doc]), pa.array(begin - starts[doc]), pa.array(n), units.render(held, seq, begin, n)], ["doc_id", "key", "place", "n", "piece"])
 
     return run
 
 
-def _unpack_stretches(blob: bytes, dtype: str) -> tuple[np.ndarray, ...]:
-    n = int(np.frombuffer(blob, "<i8", 1)[0])
-    head = 8 + 24 * n
-    return np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n), np.frombuffer(blob, "<u4", n, 8 + 16 * n).astype(np.int64), np.frombuffer(blob, "<u4", n, 8 + 20 * n).astype(np.int64), np.frombuffer(blob, dtype, -1, head)
+def pack(*columns: np.ndarray) -> bytes:
+    """64-bit columns of one length, byte plane by byte plane, compressed."""
+    n = len(columns[0])
+    planes = b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(n, 8).T).tobytes() for c in columns)
+    return np.array([n, len(columns)], "<u8").tobytes() + _ZSTD.compress(planes, asbytes=True)
 
 
-def _resolve(units: Units):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs, done in _parts(batches):
-            for batch in done:
-                yield batch.select(["doc_id", "key", "spans"])
-            if not blobs:
-                continue
-            ids, keys, place, windows, seq = (np.concatenate(x) for x in zip(*(_unpack_stretches(b, units.dtype) for b in blobs), strict=True))
-            n = windows + LENGTH - 1
-            starts = np.cumsum(n) - n
-            repeat = units.resolve(seq, starts, windows, ids)
-            which = np.repeat(np.arange(len(n)), windows)
-            start = place[which] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-            _, doc = np.unique(np.stack([ids, keys]), axis=1, return_inverse=True)
-            doc = doc.ravel()
-            rank = np.argsort(doc, kind="stable")
-            one = np.zeros(doc.max() + 1, np.int64)
-            one[doc[rank]] = rank
-            d, a = doc[which[repeat]], start[repeat]
-            order = np.lexsort((a, d))
-            got = _answers(ids[one], keys[one], *_spans(d[order], a[order], a[order] + LENGTH))
-            if got:
-                yield got
-
-    return run
+def unpack(blob: bytes) -> list[np.ndarray]:
+    n, k = (int(x) for x in np.frombuffer(blob, "<u8", 2))
+    planes = np.frombuffer(_ZSTD.decompress(blob[16:], n * k * 8), np.uint8).reshape(k, 8, n)
+    return [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
 
 
 def candidates(docs: DataFrame, units: Units) -> tuple[DataFrame, DataFrame]:
@@ -312,14 +261,23 @@ def with_copies(lost: DataFrame, copies: DataFrame) -> DataFrame:
     return some.unionByName(copies.select("doc_id", "key", F.array().cast("array<long>").alias("spans"), F.lit(True).alias("whole")))
 
 
-def repeated_spans(docs: DataFrame, units: Units) -> DataFrame:
-    """The rows of docs that lose something, with what they lose (see with_copies), through parts by gram."""
+def repeated_spans(docs: DataFrame, units: Units, search: Callable[[DataFrame], DataFrame], cut: int, most: int) -> DataFrame:
+    """What each row of docs (doc_id, key, text) loses, see ``with_copies``.
+
+    The candidates are cut into pieces at places that their content tells, one stretch in ``cut`` beginning one, of ``most``
+    windows at most. Equal pieces are folded into one, kept by the smallest id, as all their suffixes are equal: with a larger
+    id a piece is lost whole. ``search`` gets the distinct pieces (sid, piece, least) and gives (sid, spans): windows of a
+    piece that pieces of smaller ids hold too; its first owner loses those.
+    """
     copies, looked = candidates(docs, units)
-    n_shared = looked.select(F.size("ordinals").alias("n")).agg(F.sum("n")).first()[0] or 0
-    n_parts = max(1, -(-n_shared * (LENGTH + (LENGTH - units.gram + 2) // 2) // STRETCH_PART))
-    sent = looked.select("doc_id", "key", "text", "ordinals").mapInArrow(_send_stretches(units, n_parts), "part long, blob binary, doc_id long, key long, spans array<long>")
-    found = sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_resolve(units), "doc_id long, key long, spans array<long>")
-    return with_copies(found, copies)
+    owned = materialize(looked.select("doc_id", "key", "text", "ordinals").mapInArrow(_pieces(units, cut, most), "doc_id long, key long, place long, n long, piece binary"), "pieces")
+    distinct = materialize(owned.groupBy("piece").agg(F.min("doc_id").alias("least")).withColumn("sid", F.monotonically_increasing_id()), "distinct")
+    found = materialize(search(distinct), "spans")
+    placed = owned.join(distinct, "piece").select("doc_id", "key", "place", "sid", "n", (F.col("doc_id") > F.col("least")).alias("gone"))
+    shift = lambda x: x + F.shiftleft(F.col("place"), 32) + F.col("place")
+    whole = placed.where("gone").select("doc_id", "key", F.array(shift(F.col("n"))).alias("spans"))
+    some = placed.where("NOT gone").join(found, "sid").select("doc_id", "key", F.transform("spans", shift).alias("spans"))
+    return with_copies(whole.unionByName(some), copies)
 
 
 def with_spans(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Substring dedup of words by prefix-partitioned suffix trees.
 
-Spark sorts the suffixes that can repeat into parts (see ``repeats``). Inside a part they are split by prefixes of growing
-length: a node of the tree is the set of suffixes with the same prefix. A node of one document is not split further, so
-prefixes are only as long as they must be; the nodes LENGTH words deep are the repeats.
+Only stretches that can repeat take part (see ``repeats``), as distinct pieces. Each word of a piece that begins a window begins
+a suffix. Suffixes are split by prefixes of variable length: one word, and for the prefixes that more than GROUP suffixes have
+2, 4, 8 words and so on, until a group fits a task's memory. The groups of a part are built into one subtree: suffixes in order,
+and the words that neighbours have in common. Its internal nodes LENGTH words deep are the repeats; a window is lost if a
+smaller id is below its node. Words are compared by 64-bit hashes, all LENGTH of them.
 """
 
 from __future__ import annotations
@@ -15,48 +17,178 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
-from tidemark.llm.repeats import LENGTH, Units, gram_hashes, merged, repeated_spans, with_spans
-from tidemark.llm.words import Words, run_starts, text_array, word_hashes
+from tidemark.llm.common import materialize, read
+from tidemark.llm.repeats import LENGTH, Units, gram_hashes, merged, pack, repeated_spans, unpack, with_spans
+from tidemark.llm.words import Words, run_starts, slices, text_array, word_hashes
 
 GRAM = 10
-#: Words of an edge of the tree.
-EDGE = 10
+#: One stretch in so many begins a piece; the most windows of a piece.
+CUT, PIECE_WINDOWS = 16, 1 << 13
+#: Bytes of pieces of a block; suffixes of a group that is not split further, and of a part.
+BLOCK_BYTES, GROUP, PART = 1 << 20, 1 << 15, 1 << 17
+#: Words of the prefixes, one after the other.
+DEPTHS = (1, 2, 4, 8, 16, 32, LENGTH)
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     """A 64-bit hash of each word of all texts, and starts of each text; null has none."""
     words = Words(text_array(pa.RecordBatch.from_arrays([texts], ["text"])), lower=False)
-    return word_hashes(words.distinct)[words.codes], words.starts
-
-
-def deep_nodes(seq: np.ndarray, starts: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Suffixes whose node at depth LENGTH holds a suffix of a smaller document."""
-    edge = gram_hashes(seq, EDGE)
-    which = np.repeat(np.arange(len(starts)), windows)
-    at = starts[which] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-    out = np.zeros(len(at), bool)
-    live, node = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for depth in range(0, LENGTH, EDGE):
-        label = edge[at[live] + depth]
-        order = np.lexsort((label, node))
-        live, node, label = live[order], node[order], label[order]
-        new = run_starts(node, label)
-        size = np.diff(np.append(new, len(live)))
-        own = ids[which[live]]
-        least, most = np.minimum.reduceat(own, new), np.maximum.reduceat(own, new)
-        child = np.repeat(np.arange(len(new)), size)
-        keep = (least != most)[child]
-        if depth + EDGE >= LENGTH:
-            out[live] = own > least[child]
-            break
-        live, node = live[keep], child[keep]
-        if not len(live):
-            break
+    return word_hashes(words.distinct)[words.codes], words.starts, words
+
+
+def words_of(words: Words, _: np.ndarray, begin: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The pieces' words, joined by single spaces."""
+    distinct = words.distinct.cast(pa.binary()).to_pylist()
+    return pa.array([b" ".join([distinct[c] for c in words.codes[a : a + k].tolist()]) for a, k in zip(begin.tolist(), n.tolist(), strict=True)], pa.binary())
+
+
+WORDS = Units(GRAM, 6, split_words, words_of)
+
+
+def _blocks(most: int):
+    """Pieces put together: the words' hashes, and of each piece its end, number and smallest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "piece", most):
+                seq, starts, _ = split_words(part.column("piece").cast(pa.string()))
+                ids = [part.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("sid", "least")]
+                yield pa.RecordBatch.from_arrays([pa.array([pack(seq)], pa.binary()), pa.array([pack(starts[1:].astype(np.uint64), *ids)], pa.binary()), pa.array([int((np.diff(starts) - LENGTH + 1).sum())])], ["words", "pieces", "suffixes"])
+
+    return run
+
+
+class Suffixes:
+    """The suffixes of a block: where each begins, of which piece it is, and the words of all."""
+
+    def __init__(self, words: bytes, pieces: bytes):
+        self.words = unpack(words)[0]
+        ends, self.sid, self.least = unpack(pieces)
+        ends = ends.astype(np.int64)
+        counts = np.diff(ends, prepend=0) - LENGTH + 1
+        self.piece = np.repeat(np.arange(len(ends)), counts)
+        self.nth = np.arange(len(self.piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.at = self.nth + np.repeat(ends - np.diff(ends, prepend=0), counts)
+
+    def prefix(self, depth: int) -> np.ndarray:
+        """A hash of the first ``depth`` words of each suffix."""
+        return gram_hashes(self.words, depth)[self.at] ^ np.uint64(depth)
+
+    def groups(self, crowded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(group of each suffix: its shortest prefix that isn't crowded, whether one of the depths known so far is that)."""
+        group, open_ = self.prefix(DEPTHS[0]), np.ones(len(self.at), bool)
+        for depth, many in zip(DEPTHS[1:], crowded, strict=False):
+            open_[open_] = np.isin(group[open_], many)
+            if not open_.any():
+                break
+            group[open_] = self.prefix(depth)[open_]
+        return group, open_
+
+
+def _prefix_counts(crowded: list[np.ndarray]):
+    """How many suffixes have each prefix of the next depth, of those whose prefixes before are all crowded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, pieces in zip(batch.column("words").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                group, open_ = Suffixes(words, pieces).groups(crowded)
+                own, n = np.unique(group[open_], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["prefix", "n"])
+
+    return run
+
+
+def _send(crowded: list[np.ndarray], n_parts: int):
+    """The suffixes to the parts of their groups, LENGTH words each, as codes into the words that a blob has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, pieces in zip(batch.column("words").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                s = Suffixes(words, pieces)
+                part = (s.groups(crowded)[0] % np.uint64(n_parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                for own in np.split(order, run_starts(part[order])[1:]) if len(order) else []:
+                    distinct, codes = np.unique(s.words[s.at[own, None] + np.arange(LENGTH)], return_inverse=True)
+                    flat = codes.reshape(len(own), LENGTH).T.astype("<u4").ravel().view("<u8" if len(own) * LENGTH % 2 == 0 else "<u4").astype("<u8")
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])]), pa.array([pack(distinct)], pa.binary()), pa.array([pack(flat)], pa.binary()), pa.array([pack(s.sid[s.piece[own]], s.least[s.piece[own]], s.nth[own].astype(np.uint64))], pa.binary())], ["part", "distinct", "codes", "suffixes"])
+
+    return run
+
+
+def subtree(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the suffixes, words that each has in common with the one before, 0 for the first) of rows of word numbers."""
+    text = np.ascontiguousarray(rows.astype(">u4")).view(f"V{4 * rows.shape[1]}").ravel()
+    order = np.argsort(text, kind="stable")
+    same = rows[order[1:]] == rows[order[:-1]]
+    common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    return order, np.concatenate([[0], common])
+
+
+def repeated_windows(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which suffixes have a smaller id below their node of depth LENGTH, the whole row."""
+    order, common = subtree(rows)
+    node = np.flatnonzero(common < rows.shape[1])  # a node's first suffix parts from the one before above that depth
+    smallest = np.minimum.reduceat(least[order], node)
+    out = np.empty(len(order), bool)
+    out[order] = least[order] > np.repeat(smallest, np.diff(np.append(node, len(order))))
     return out
 
 
-WORDS = Units(GRAM, split_words, "<u8", 6, deep_nodes)
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid, spans of the windows that are lost, touching ones of a part as one."""
+
+    def built(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
+        words, codes, suffixes = ([unpack(x) for x in column] for column in zip(*held, strict=True))
+        known = np.unique(np.concatenate([w[0] for w in words]))
+        rows = []
+        for w, c, x in zip(words, codes, suffixes, strict=True):
+            n = len(x[0])
+            own = c[0].view("<u4") if n * LENGTH % 2 == 0 else c[0].astype("<u4")
+            rows.append(np.searchsorted(known, w[0]).astype(np.uint32)[own.reshape(LENGTH, n).T])
+        sid, least, nth = (np.concatenate([x[k] for x in suffixes]).view(np.int64) for k in range(3))
+        hit = np.flatnonzero(repeated_windows(np.concatenate(rows), least))
+        if not len(hit):
+            return None
+        hit = hit[np.lexsort((nth[hit], sid[hit]))]
+        sid, nth = sid[hit], nth[hit]
+        first = np.ones(len(hit), bool)
+        first[1:] = (np.diff(nth) > LENGTH) | (np.diff(sid) != 0)
+        i = np.flatnonzero(first)
+        spans = (nth[i] << 32) | (nth[np.append(i[1:], len(hit)) - 1] + LENGTH)
+        new = run_starts(sid[i])
+        return pa.RecordBatch.from_arrays([pa.array(sid[i][new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(i)).astype(np.int32)), pa.array(spans))], ["sid", "spans"])
+
+    part, held = None, []
+    for batch in batches:
+        for p, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "distinct", "codes", "suffixes")), strict=True):
+            if p != part and held:
+                if got := built(held):
+                    yield got
+                held = []
+            part = p
+            held.append(tuple(blobs))
+    if held and (got := built(held)):
+        yield got
+
+
+def smaller_windows(pieces: DataFrame) -> DataFrame:
+    """sid, spans of the distinct pieces (sid, piece, least) that have a window which a piece of a smaller ``least`` has too.
+
+    The crowded prefixes of a depth come to the driver: there are at most (suffixes / GROUP) of them.
+    """
+    blocks = materialize(pieces.mapInArrow(_blocks(BLOCK_BYTES), "words binary, pieces binary, suffixes long"), "blocks")
+    n = blocks.agg(F.sum("suffixes")).first()[0] or 0
+    crowded: list[np.ndarray] = []
+    while len(crowded) < len(DEPTHS) - 1:
+        counts = blocks.select("words", "pieces").mapInArrow(_prefix_counts(crowded), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP)
+        many = np.sort(counts.select("prefix").toArrow().column("prefix").to_numpy().view(np.uint64))
+        if not len(many):
+            break
+        crowded.append(many)
+    n_parts = max(1, -(-n // PART))
+    sent = blocks.select("words", "pieces").mapInArrow(_send(crowded, n_parts), "part long, distinct binary, codes binary, suffixes binary")
+    found = sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_trees, "sid long, spans array<long>")
+    return found.groupBy("sid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +211,9 @@ def remove_repeated_words(docs: DataFrame) -> DataFrame:
 
     A word goes if LENGTH consecutive words that hold it also start in a row with a smaller doc_id. Null and empty texts have
     no words; texts of fewer words lose none; rows that share a doc_id don't touch each other; rows with a null doc_id lose
-    nothing and take nothing. Other columns are not read.
+    nothing and take nothing. doc_id must be an integer or text that spells one. Other columns are not read.
     """
-    rows = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), lambda keyed: repeated_spans(keyed, WORDS))
+    rows = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), lambda keyed: repeated_spans(keyed, WORDS, smaller_windows, CUT, PIECE_WINDOWS))
     return rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
