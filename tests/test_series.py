@@ -215,3 +215,22 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
     s = R.load_series(spark, f"{DATA}/events.parquet", "ts", ["value"])
     assert s.row_count() == 1000
+
+
+def test_zone_map_and_windows(spark, tmp_path):
+    """Footers on the numeric scale; blocks give the same rows as a plain read, and few are held."""
+    import pandas as pd
+
+    n = 1000
+    frame = pd.DataFrame({"t": pd.date_range("2024-01-01", periods=n, freq="s").astype("datetime64[us]"), "v": np.where(np.arange(n) % 7 == 0, np.nan, np.arange(n, dtype=float)), "s": "x"})
+    path = str(tmp_path / "log.parquet")
+    frame.to_parquet(path, row_group_size=100)
+    zones = R.zone_map(spark, path, "t").orderBy("offset").collect()
+    assert len(zones) == 10 and [z.offset for z in zones] == list(range(0, n, 100)) and zones[3].lo == pd.Timestamp("2024-01-01 00:05:00").timestamp()
+    assert R.ascending_by_groups(R.zone_map(spark, path, "t")) and not R.ascending_by_groups(spark.createDataFrame([(0, 1.0, 5.0), (1, None, None), (2, 4.0, 9.0)], "offset long, lo double, hi double"))
+    with pytest.raises(R.NonNumericColumnError):
+        R.zone_map(spark, path, "s")
+    reader = R.WindowReader(R.load_series(spark, path, "t", ["v"]), ["v"], 64, 3)
+    for a, b in ((0, 10), (60, 70), (-5, 200), (150, 420), (990, 2000), (5, 5)):
+        np.testing.assert_array_equal(reader.read(a, b)["v"], frame["v"].to_numpy()[max(0, a) : max(0, b)])
+    assert len(reader.blocks) <= 3

@@ -72,3 +72,32 @@ def test_what_a_view_says_besides(tmp_path):
     assert view.visible_plots() == [["b"]]
     again = json.loads(open(save_view(str(tmp_path), view)).read())
     assert again["plots"] == body["plots"]
+
+
+def test_names_of_the_axis_are_taken_out():
+    from tidemark.plans.derived import effective_available
+
+    names, aliases = {"t", "clock", "v", "w"}, {"clock": "t", "w": "v"}
+    assert effective_available(names, aliases, "clock") == effective_available(names, aliases, "t") == {"v", "w"}
+    assert effective_available(names, aliases, None) == effective_available(names, aliases, "other") == names
+
+
+def test_queue_keeps_to_its_memory():
+    from tidemark.plans.workspace import Queue, Request
+
+    queue = Queue(parallel=3, free=lambda _: 1 << 40, memory=100)
+    for k, need in enumerate((60, 50, 10)):
+        queue.add(Request(f"f{k}", "v", 1, memory=need))
+    first = queue.start_next()
+    assert first.target == "f0" and queue.start_next() is None
+    queue.finish(first)
+    assert [queue.start_next().target, queue.start_next().target] == ["f1", "f2"]
+
+
+def test_size_of_an_export(spark):
+    from tests.conftest import DATA
+    from tidemark.sources.export import build_plan, estimate
+
+    plan = build_plan(spark, f"{DATA}/events.parquet", ["user_id", "event_type", "x"], {"x": "value + 1"}, "ts", float32=True)
+    n = spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert estimate(spark, plan) == {"rows": n, "bytes": n * (8 + 8 + 32 + 4), "part_rows": 1_000_000}

@@ -121,17 +121,18 @@ class Request:
     volume: str
     n_bytes: int
     state: str = "waiting"
+    memory: int = 0
 
 
 class Queue:
     """First come, first served, ``parallel`` at a time; only the head may start.
 
-    The head waits while its target is being written or its volume lacks room for all that run there. Two failures for lack of
-    room stop what is left.
+    The head waits while its target is being written, its volume lacks room for all that run there, or the memory of all that
+    run would be above the budget; alone it may have more. Two failures for lack of room stop what is left.
     """
 
-    def __init__(self, parallel: int = 2, margin: int = 100 << 20, free: Callable[[str], int] | None = None):
-        self.parallel, self.margin = parallel, margin
+    def __init__(self, parallel: int = 2, margin: int = 100 << 20, free: Callable[[str], int] | None = None, memory: int | None = None):
+        self.parallel, self.margin, self.memory = parallel, margin, memory
         self.free = free or (lambda volume: shutil.disk_usage(volume).free)
         self.items: list[Request] = []
         self.full = 0
@@ -149,6 +150,8 @@ class Queue:
         busy = self.running()
         if head is None or len(busy) >= self.parallel or any(r.target == head.target for r in busy):
             return None
+        if busy and self.memory is not None and head.memory + sum(r.memory for r in busy) > self.memory:
+            return None
         asked = head.n_bytes + sum(r.n_bytes for r in busy if r.volume == head.volume)
         if asked + self.margin > self.free(head.volume):
             if not busy:

@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.semantics import finite
 from tidemark.plans.derived import classify, needed
@@ -104,6 +105,26 @@ def plan_frame(spark: SparkSession, plan: Plan) -> DataFrame:
     return frame.select("_row", of[plan.time_column].alias(plan.time_column), *(of[n].alias(n) for n in plan.output), *(c.alias(n) for n, c in lost.items()))
 
 
+#: Bytes of a written part, about, and bounds of its rows.
+PART_BYTES, PART_ROWS = 256 << 20, (65_536, 1_000_000)
+
+
+def row_bytes(spark: SparkSession, plan: Plan) -> int:
+    """Bytes of one row of a plan's output before compression: fixed widths, 32 for texts and nested values."""
+    kinds = {f.name: f.dataType for f in spark.read.parquet(plan.path).schema}
+    width = lambda kind: 32 if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) else {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}.get(kind.simpleString(), 8)
+    raw = sum(width(kinds[n]) for n in (plan.time_column, *plan.raw))
+    return raw + sum(n in plan.derived for n in plan.output) * (4 if plan.float32 else 8)
+
+
+def estimate(spark: SparkSession, plan: Plan) -> dict[str, int]:
+    """rows, bytes (uncompressed, so an upper bound) and part_rows of what a plan writes; rows in a range are counted."""
+    one = row_bytes(spark, plan)
+    axis = load_series(spark, plan.path, plan.range_axis or plan.time_column, [])
+    span = find_row_range(axis, *plan.x_range) if plan.x_range is not None else (0, axis.source.count())
+    return {"rows": span[1] - span[0], "bytes": (span[1] - span[0]) * one, "part_rows": min(max(PART_BYTES // one, PART_ROWS[0]), PART_ROWS[1])}
+
+
 def _fs(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -126,7 +147,7 @@ def export_parquet(spark: SparkSession, plan: Plan, path: str, overwrite: bool =
     seen = Observation()
     counts = [F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(f"`{c}`")).alias(c) for c in floats)]
     ordered = frame.repartitionByRange("_row").sortWithinPartitions("_row").observe(seen, *counts)
-    ordered.drop("_row", *floats).write.mode("overwrite").option("compression", "zstd").parquet(part)
+    ordered.drop("_row", *floats).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", PART_ROWS[1]).parquet(part)
     got = seen.get
     rows = got["rows"]
     old = _fs(spark, aside)[1]

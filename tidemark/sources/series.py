@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
+from datetime import UTC, date, datetime
+from itertools import pairwise
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,6 +179,80 @@ def row_groups(path: str) -> list[dict]:
     return out
 
 
+def zone_map(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """offset, rows, lo, hi, nulls of each row group of a local log, files following one another by path.
+
+    Bounds are on the numeric scale of ``numeric``; where the footer has none, or one that isn't a number, they are null, which
+    means unknown and not empty.
+    """
+    kind = spark.read.parquet(path).schema[name].dataType
+    if not is_numeric(kind):
+        raise NonNumericColumnError(f"{name} is {kind.simpleString()}")
+    local = Path(path.removeprefix("file://"))
+    files, out, base = sorted(local.glob("*.parquet")) if local.is_dir() else [local], [], 0
+    for file in files:
+        groups = row_groups(str(file))
+        for g in groups:
+            lo, hi, nulls = g["stats"].get(name, (None, None, None))
+            known = [_on_scale(v) for v in (lo, hi)]
+            usable = all(v is not None and not math.isnan(v) for v in known)
+            out.append((base + g["offset"], g["rows"], *(known if usable else (None, None)), nulls))
+        base += sum(g["rows"] for g in groups)
+    return spark.createDataFrame(out, "offset long, rows long, lo double, hi double, nulls long")
+
+
+def _on_scale(v: object) -> float | None:
+    """A footer's bound as ``numeric`` reads the column."""
+    if isinstance(v, datetime):
+        return (v if v.tzinfo else v.replace(tzinfo=UTC)).timestamp()
+    if isinstance(v, date):
+        return (v - date(1970, 1, 1)).days * 86_400.0
+    return None if v is None or isinstance(v, (str, bytes)) else float(v)
+
+
+def ascending_by_groups(zones: DataFrame) -> bool:
+    """Whether bounds never fall from one row group to the next, those unknown left out; order inside a group isn't seen."""
+    known = [(r["lo"], r["hi"]) for r in zones.where("lo IS NOT NULL").orderBy("offset").collect()]
+    return all(a[1] <= b[0] for a, b in pairwise(known))
+
+
+class WindowReader:
+    """Rows of a series by range, for one who looks at neighbouring ranges again and again.
+
+    Blocks of ``block_rows`` rows are read at once, the ``most`` latest used are kept, so what is held is bounded.
+    """
+
+    def __init__(self, series: Series, names: Iterable[str], block_rows: int = 65_536, most: int = 32):
+        self.series, self.names, self.block_rows, self.most = series.select(*names), list(names), block_rows, most
+        self.n_rows = series.source.count()
+        self.blocks: OrderedDict[int, dict[str, np.ndarray]] = OrderedDict()
+
+    def _fetch(self, wanted: list[int]) -> None:
+        """Blocks that aren't held, by one job."""
+        lo, hi = wanted[0] * self.block_rows, (wanted[-1] + 1) * self.block_rows
+        got = self.series.rows(lo, hi).df.toPandas().sort_values("_row")
+        of = got["_row"].to_numpy() // self.block_rows
+        for k in wanted:
+            own = got[of == k]
+            self.blocks[k] = {n: own[n].to_numpy() for n in self.names}
+
+    def read(self, start: int, end: int) -> dict[str, np.ndarray]:
+        """Values of rows [start, end), clamped to the log."""
+        start, end = max(0, start), min(self.n_rows, end)
+        if end <= start:
+            return {n: np.zeros(0) for n in self.names}
+        needed = list(range(start // self.block_rows, (end - 1) // self.block_rows + 1))
+        if missing := [k for k in needed if k not in self.blocks]:
+            self._fetch(missing)
+        for k in needed:
+            self.blocks.move_to_end(k)
+        base = needed[0] * self.block_rows
+        out = {n: np.concatenate([self.blocks[k][n] for k in needed])[start - base : end - base] for n in self.names}
+        while len(self.blocks) > self.most:
+            self.blocks.popitem(last=False)
+        return out
+
+
 def find_row_range(series: Series, lo: float, hi: float) -> tuple[int, int]:
     """[first row at or after lo, last row at or before hi + 1); rows without a finite time between them are inside."""
     got = series.df.agg(F.min(F.when(F.col("_t") >= lo, F.when(~F.isnan("_t"), F.col("_row")))).alias("a"), F.max(F.when(F.col("_t") <= hi, F.col("_row"))).alias("b")).first()
