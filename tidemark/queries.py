@@ -22,11 +22,11 @@ from tidemark.operators import stats as A
 from tidemark.operators import timeaxis as X
 from tidemark.operators import xy as C
 from tidemark.operators.downsample import drawn, envelope_points, format_interval, format_rate, overview
-from tidemark.plans.derived import classify, dependency_order
+from tidemark.plans.derived import classify, dependency_order, effective_available
 from tidemark.plans.expression import Compiler, Registry, UserFunction, check_calls, expression_margin
 from tidemark.sources import series as R
-from tidemark.sources.export import build_plan, export_parquet, plan_from_view, write_buckets
-from tidemark.sources.stores import View, load_view, save_view
+from tidemark.sources.export import build_plan, estimate, export_many, export_parquet, plan_from_view, write_buckets
+from tidemark.sources.stores import Alias, View, active_aliases, load_aliases, load_functions, load_settings, load_view, log_operation, save_aliases, save_functions, save_settings, save_view, timeline, validate_alias
 from tidemark.sources.tables import TableStore, parse_table
 from tidemark.streaming.buckets import stream_buckets
 
@@ -756,6 +756,97 @@ def stream_days(spark, sf_dir):
     return rounded(spark.table(name), "total", digits=5)
 
 
+@query(f"WITH {EV} SELECT count(*) AS n, round(min(t), 6) AS lo, round(max(t), 6) AS hi, true AS ascending FROM ev")
+def zone_bounds(spark, sf_dir):
+    """Bounds and order of the axis from footers alone."""
+    zones = R.zone_map(spark, f"{sf_dir}/events.parquet", "ts")
+    one = zones.agg(F.sum("rows").alias("n"), F.round(F.min("lo"), 6).alias("lo"), F.round(F.max("hi"), 6).alias("hi"))
+    return one.withColumn("ascending", F.lit(R.ascending_by_groups(zones)))
+
+
+@query(f"WITH {EV} SELECT r AS _row, value FROM ev WHERE r BETWEEN 130 AND 420")
+def window_rows(spark, sf_dir):
+    """A range from a reader that holds parts of it already."""
+    reader = R.WindowReader(events(spark, sf_dir), ["value"], 64, 4)
+    reader.read(0, 200)
+    got = reader.read(130, 421)["value"]
+    return spark.createDataFrame([(130 + k, float(v)) for k, v in enumerate(got)], "_row long, value double")
+
+
+@query("SELECT * FROM (VALUES ('level'), ('value')) v(name)")
+def axis_names(spark, sf_dir):
+    """What is left for a view whose axis is a stamp known by two names."""
+    names = effective_available(["ts", "clock", "value", "level"], {"clock": "ts", "level": "value"}, "clock")
+    return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+
+
+@query("SELECT count(*) AS n, count(*) * (8 + 8 + 32 + 8) AS bytes FROM events")
+def export_size(spark, sf_dir):
+    plan = build_plan(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type", "x"], {"x": "value + 1"}, "ts")
+    got = estimate(spark, plan)
+    return spark.createDataFrame([(got["rows"], got["bytes"])], "n long, bytes long")
+
+
+@query(f"WITH {EV}, j AS (SELECT unnest(['events_a', 'events_b']) AS log) SELECT log, count(*) AS n, round(sum(value * 2), 3) AS total FROM ev, j GROUP BY log")
+def export_batch(spark, sf_dir):
+    """A view over two logs at a time."""
+    folder, path = _scratch(spark), f"{sf_dir}/events.parquet"
+    done = export_many(spark, View("v", path, "ts", {"x": "value * 2"}, [["x"]]), [path, path], folder, stamp="s")
+    parts = [spark.read.parquet(d["path"]).agg(F.count("x").alias("n"), F.round(F.sum("x"), 3).alias("total")).select(F.lit(f"events_{c}").alias("log"), "n", "total") for c, d in zip("ab", done, strict=True)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, round(l_extendedprice * (1 - l_discount) * 1.5, 6) AS a FROM lineitem")
+def function_store(spark, sf_dir):
+    """A function saved, loaded and called."""
+    with tempfile.TemporaryDirectory() as folder:
+        save_functions(f"{folder}/f.json", Registry().add(UserFunction("net", ("price", "off"), "price * (1 - off) * factor", {"factor": 1.5})))
+        registry = load_functions(f"{folder}/f.json")[0]
+    s = lines(spark, sf_dir, "l_extendedprice", "l_discount", "l_orderkey", "l_linenumber").derive({"a": "net(l_extendedprice, l_discount)"}, registry)
+    return s.df.select(F.col("l_orderkey").cast("long").alias("k"), F.col("l_linenumber").cast("int").alias("n"), F.round("a", 6).alias("a"))
+
+
+@query("SELECT event_id AS k, value AS level FROM events")
+def alias_store(spark, sf_dir):
+    """Aliases saved and loaded; one that is switched off isn't used."""
+    with tempfile.TemporaryDirectory() as folder:
+        save_aliases(f"{folder}/a.json", [Alias("level", ["height", "value"]), Alias("off", ["value"], False)])
+        known = active_aliases(load_aliases(f"{folder}/a.json")[0])
+    s = events(spark, sf_dir, "value", "event_id").renamed(known)
+    return s.df.select(F.col("event_id").cast("long").alias("k"), *(c for c in s.df.columns if c in ("level", "off")))
+
+
+@query("SELECT * FROM (VALUES ('', 'blank'), ('sqrt', 'reserved'), ('level', 'duplicate'), ('none', 'no_candidates'), ('fine', NULL)) v(alias, refusal)")
+def alias_checks(spark, sf_dir):
+    there = [Alias("level", ["value"])]
+    tried = [Alias("", ["value"]), Alias("sqrt", ["value"]), Alias("level", ["value"]), Alias("none", [" "]), Alias("fine", ["value"])]
+    return spark.createDataFrame([(a.name, validate_alias(a, there)) for a in tried], "alias string, refusal string")
+
+
+@query("SELECT * FROM (VALUES ('downsample_ratio', 3), ('eager_load_limit_mb', 512), ('export_parallel', 2)) v(setting, held)")
+def settings_store(spark, sf_dir):
+    """One setting changed, one broken by hand, one left."""
+    with tempfile.TemporaryDirectory() as folder:
+        save_settings(f"{folder}/s.json", {"downsample_ratio": 3, "export_parallel": "many"})
+        return spark.createDataFrame(sorted(load_settings(f"{folder}/s.json").items()), "setting string, held int")
+
+
+@query("SELECT * FROM (VALUES ('export', 'a', true), ('export', 'b', false)) v(kind, name, ok)")
+def operation_log(spark, sf_dir):
+    """Two of three logged operations, chosen by kind."""
+    path = f"{tempfile.mkdtemp()}/log.jsonl"
+    for kind, name, ok in (("export", "a", True), ("draw", "x", True), ("export", "b", False)):
+        log_operation(path, kind, name=name, ok=ok)
+    return timeline(spark, f"file://{path}", ["export"]).select("kind", "name", "ok")
+
+
+@query("SELECT * FROM (VALUES ('a', 1), ('b', 0), ('c', 1)) v(series, shown)")
+def hidden_series(spark, sf_dir):
+    view = View("v", "x", None, {}, [["a", "b"], ["c"]], looks=[{"series": [{}, {"visible": False}]}])
+    shown = {n for p in view.visible_plots() for n in p}
+    return spark.createDataFrame([(n, int(n in shown)) for n in "abc"], "series string, shown int")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a range, a conditional formula of them, and its daily integral from 06:00 with completeness."""
     s = ranged(events(spark, sf_dir)).derive({"power": "where(value > 10, value * 3.6, 0)"})
