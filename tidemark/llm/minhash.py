@@ -134,10 +134,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shingles (hashes of the whole set) of the documents of the distinct ``ids``, equal rows once, as a table."""
+    """id, shingles (hashes of the whole set), n (their number), of (a hash of the set) of the documents of the distinct ``ids``,
+    equal rows once, as a table."""
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi").distinct()
-    return materialize(texts.mapInArrow(_shingles, f"id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>").where(F.size("shingles") > 0), "shingles")
+    sets = texts.mapInArrow(_shingles, f"id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>").where(F.size("shingles") > 0)
+    return materialize(sets.select("*", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("of")), "shingles")
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def prefix_pairs(sets: DataFrame, placed: DataFrame) -> DataFrame:
     each of the others only sets outside its commonest component look for partners, so a group that is joined already is not
     spelt out in pairs. The sets of a shingle that very many have early meet in a square of tasks of about MEETINGS tests each.
     """
-    one = materialize(sets.select("id", F.xxhash64("shingles").alias("of"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    one = materialize(sets.select("id", "of", "n", F.explode("shingles").alias("token")), "tokens")
     df = one.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rare = one.join(df, "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("id", "of", "n").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1)
     early = rare.where((F.col("df") > 1) & (F.col("n") - F.col("at") >= F.ceil(SIMILARITY * F.col("n") / 100)))

@@ -189,23 +189,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
 
 
 def predict(docs: DataFrame, model: Machine | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, score and predicted for every row of docs.
+    """``carry`` columns, score and predicted for every row of docs; the last two are always these.
 
     A null text counts as an empty one; repeated rows are scored each; without a model every score is 0.5. Where a column of
-    carry is itself named score or predicted, the new ones are named __score and __predicted.
+    carry has one of their names, underscores are put before both until none has.
     """
-    mark = "__" if {"score", "predicted"} & set(carry) else ""
+    mark = ""
+    while {f"{mark}score", f"{mark}predicted"} & set(carry):
+        mark += "_"
+    where = "text" if "text" in carry else "__text"
     if model is None:
         return docs.select(*carry, F.lit(0.5).alias(f"{mark}score"), F.lit(1).alias(f"{mark}predicted"))
-    rows = docs.select(*carry, F.col("text").alias("__text"))
+    rows = docs.select(*carry) if where == "text" else docs.select(*carry, F.col("text").alias(where))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*carry, f"{mark}score", f"{mark}predicted"]
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(names[-2], T.DoubleType()), T.StructField(names[-1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text", HEAVY_SLICE_BYTES):
-                score = score_texts(text_array(part, "__text"), shared.value)
+            for part in slices(batch, where, HEAVY_SLICE_BYTES):
+                score = score_texts(text_array(part, where), shared.value)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names)
 
     return rows.mapInArrow(run, schema)

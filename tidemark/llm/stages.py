@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is judged by its text, null as empty; null and repeated ids, and columns named like the verdict's, stay as they are.
     """
     model = judge.train(docs, read(spark, sf_dir, "labels"))
-    judged = judge.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ("row",))
-    return judged.where("predicted = 1").select("row.*")
+    judged = judge.predict(docs, model, tuple(docs.columns))
+    return judged.where(F.col(judged.columns[-1]) == 1).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
