@@ -36,7 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back; lineage ends there and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again, and let Spark drop shuffle files that nothing refers to."""
+    for table in tables:
+        drop_path(table.sparkSession, table.scratch)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
