@@ -83,15 +83,8 @@ def shuffled(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return keyed.withColumn("inside", inside).join(base, ["no", "bucket"]).withColumn("at", F.col("base") + F.col("inside")).drop("h", "bucket", "docs", "base", "inside")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and source and __key (a hash of the text), for every row of docs.
-
-    Blocks are BLOCK words of a source's stream of shuffled documents. The source's slot of rank r takes block r, beginning
-    again when all are taken, at most twice; the number of slots is the sum of targets in blocks. Empty and null texts have
-    size 0 and taken 0, a source without words target 0; no rows give no rows; repeated rows are mixed each. Other columns of
-    docs are not read.
-    """
-    spark = docs.sparkSession
+def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(each row of docs laid in its source's stream, the mixture, the plan of the sources)."""
     sized = materialize(with_size(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.xxhash64("text").alias("__key")), "sizes")
     goal = targets(sized)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -102,16 +95,37 @@ def mix(docs: DataFrame) -> DataFrame:
     plan = goal.select("*", F.row_number().over(order).alias("no"), (F.sum("target").over(whole) / BLOCK).alias("slots"), ((upto - F.col("target")) / total).alias("lo"), F.when(last, F.lit(1.0)).otherwise(upto / total).alias("hi"))
     plan = materialize(plan.withColumn("lo", F.round("lo", 12)).withColumn("hi", F.round("hi", 12)), "targets")
     first = plan.select("slots").first()
-    n_slots = int(round(first[0])) if first else 0
-    slots = schedule(plan, n_slots)
-    # words taken of block b: once for each slot whose rank comes to b, and never beyond two rounds
+    slots = schedule(plan, int(round(first[0])) if first else 0)
+    # the source's slot of rank r takes block r, again from the first on when all are taken, and never beyond two rounds
     blocks = plan.select("no", F.ceil(F.col("source_size") / BLOCK).alias("blocks"))
-    times = slots.join(blocks, "no").where((F.col("blocks") > 0) & (F.col("rank") < 2 * F.col("blocks"))).groupBy("no", F.pmod("rank", "blocks").alias("block")).agg(F.count(F.lit(1)).alias("times"))
+    taking = slots.join(blocks, "no").where((F.col("blocks") > 0) & (F.col("rank") < 2 * F.col("blocks"))).select("no", "slot", F.pmod("rank", "blocks").alias("block"))
     laid = shuffled(sized, plan)
-    spans = laid.where(F.col("size") > 0).select("no", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))).alias("block"))
-    overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("at", F.col("block") * BLOCK)
+    end = F.col("at") + F.col("size")
+    pieces = laid.where(F.col("size") > 0).select("no", "source", "doc_id", "__key", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((end - 1) / BLOCK))).alias("block"))
+    lo, hi = F.greatest("at", F.col("block") * BLOCK) - F.col("at"), F.least(end, (F.col("block") + 1) * BLOCK) - F.col("at")
+    mixture = pieces.join(taking, ["no", "block"]).select("slot", "no", "source", "block", "doc_id", "__key", "at", lo.alias("first_word"), hi.alias("end_word"))
+    return laid, mixture, plan
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """slot, source, block, doc_id, __key (a hash of the text), first_word, end_word: the mix itself, not yet in order.
+
+    In order of slot and, within a slot, of the row's place in the stream (``at``), the rows are the interleaved stream: each
+    stands for the words [first_word, end_word) of a document. A slot is one block of BLOCK words of its source.
+    """
+    return _planned(docs)[1].drop("no")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and source and __key (a hash of the text), for every row of docs.
+
+    taken counts the words of a document in ``mixture``. Blocks are BLOCK words of a source's stream of shuffled documents; the
+    number of slots is the sum of targets in blocks. Empty and null texts have size 0 and taken 0, a source without words
+    target 0; no rows give no rows; repeated rows are mixed each. Other columns of docs are not read.
+    """
+    laid, mixed, plan = _planned(docs)
     # words before a document never repeat in its source unless its size is 0
-    taken = spans.join(times, ["no", "block"]).groupBy("no", "at").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    taken = mixed.groupBy("no", "at").agg(F.sum(F.col("end_word") - F.col("first_word")).alias("taken"))
     found = laid.join(taken, ["no", "at"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
     return found.join(plan.select("no", "source_size", "target"), "no").select("doc_id", "size", "source_size", "target", "taken", "source", "__key")
 
