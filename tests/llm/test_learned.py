@@ -152,6 +152,25 @@ def test_mixing(docs, empty, spark):
     assert {r[0] for r in stages.mixing(spark, docs, DATA).select("size").collect()} == {"x"}
 
 
+def test_mixture_interleaves(spark):
+    """Slots hold whole blocks, sources take turns in proportion from the start, and the rows add up to what is taken."""
+    docs = read(spark, DATA, "documents")
+    rows = sorted(mixing.mixture(docs).collect(), key=lambda r: (r.slot, r["at"]))
+    words = {}
+    for r in rows:
+        words[r.slot] = words.get(r.slot, 0) + r.end_word - r.first_word
+    assert max(words.values()) == 64 and sum(v == 64 for v in words.values()) >= len(words) - 20
+    taken = {}
+    for r in rows:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.end_word - r.first_word
+    assert {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken} == taken
+    source = {r.slot: r.source for r in rows}
+    of = [source[k] for k in sorted(source)]
+    for name in set(of):
+        share = of.count(name) / len(of)
+        assert all(abs(of[:k].count(name) - share * k) < 6 for k in range(0, len(of), 50))
+
+
 def test_mixing_comes_near_its_targets(spark):
     rows = mixing.mix(read(spark, HELD, "documents")).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     assert all(abs(r["sum(taken)"] - r["max(target)"]) < 0.03 * r["max(target)"] for r in rows)

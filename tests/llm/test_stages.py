@@ -42,3 +42,15 @@ def test_mixing(spark):
     assert got.columns == docs.columns and judged(spark, stages.mixing, docs, "") == +want
     shared = Counter(r.lang for r in got.where("doc_id = 8").collect())
     assert len(shared) == min(6, want[8, "same " * 130]) and judged(spark, stages.mixing, docs.repartition(5), "") == +want
+
+
+def test_quality(spark, docs, tmp_path):
+    """Columns named like the verdict stay as they are; rows of one text are judged alike, null ids and texts included."""
+    spark.createDataFrame([(1, 1), (2, 1), (8, 0), (9, 0), (12, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = docs.withColumnRenamed("hits", "_score").unionByName(docs.withColumnRenamed("hits", "_score").where("doc_id = 8"))
+    got = stages.quality(spark, more, str(tmp_path))
+    assert got.columns == more.columns and {r[0] for r in got.select("score", "predicted", "_score").distinct().collect()} == {"x"}
+    kept = Counter(rows_of(got))
+    assert not [r for r in kept if r[0] in (8, 9, 12)] and all(kept[r] == n for r, n in Counter(rows_of(more)).items() if r in kept) and kept
+    nothing = stages.quality(spark, more, str(tmp_path)).limit(0)
+    assert nothing.count() == 0 and stages.quality(spark, more.limit(0), str(tmp_path)).count() == 0

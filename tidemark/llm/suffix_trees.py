@@ -107,9 +107,13 @@ def _send(crowded: list[np.ndarray], n_parts: int):
                 s = Suffixes(words, pieces)
                 part = (s.groups(crowded)[0] % np.uint64(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
+                every, code = np.unique(s.words, return_inverse=True)
                 for own in np.split(order, run_starts(part[order])[1:]) if len(order) else []:
-                    distinct, codes = np.unique(s.words[s.at[own, None] + np.arange(LENGTH)], return_inverse=True)
-                    flat = codes.reshape(len(own), LENGTH).T.astype("<u4").ravel().view("<u8" if len(own) * LENGTH % 2 == 0 else "<u4").astype("<u8")
+                    rows = code[s.at[own, None] + np.arange(LENGTH)]
+                    used = np.zeros(len(every), bool)
+                    used[rows] = True
+                    distinct = every[used]
+                    flat = (np.cumsum(used) - 1)[rows].T.astype("<u4").ravel().view("<u8" if len(own) * LENGTH % 2 == 0 else "<u4").astype("<u8")
                     yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])]), pa.array([pack(distinct)], pa.binary()), pa.array([pack(flat)], pa.binary()), pa.array([pack(s.sid[s.piece[own]], s.least[s.piece[own]], s.nth[own].astype(np.uint64))], pa.binary())], ["part", "distinct", "codes", "suffixes"])
 
     return run
