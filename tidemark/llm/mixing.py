@@ -71,11 +71,12 @@ def schedule(plan: DataFrame, n_slots: int) -> DataFrame:
 def shuffled(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Each document with ``no`` and ``at``, the words before it in its source's shuffled stream.
 
-    The order is that of md5 of the id; ties and null ids are settled by id and size, equal rows may change places. A source
-    is cut by the hash into buckets of about BUCKET_DOCS documents, which are ordered apart from each other.
+    The order is that of md5 of the id, of the text's hash for a null one; ties are settled by id, size and text, equal rows may
+    change places. A source is cut by the hash into buckets of about BUCKET_DOCS documents, which are ordered apart from each
+    other.
     """
     keyed = sized.join(plan.select(F.col("source").alias("__source"), "no", "docs"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    keyed = keyed.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")))
+    keyed = keyed.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("__key").cast("string"))).cast("binary")))
     place = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") / float(1 << 32)
     keyed = keyed.withColumn("bucket", F.floor(place * F.ceil(F.col("docs") / BUCKET_DOCS)))
     base = _offsets(keyed, ["no"], "bucket", F.col("size"), "base")
