@@ -3,8 +3,9 @@
 Only stretches that can repeat take part (see ``repeats``), as distinct pieces. Each word of a piece that begins a window begins
 a suffix. Suffixes are split by prefixes of variable length: one word, and for the prefixes that more than GROUP suffixes have
 2, 4, 8 words and so on, until a group fits a task's memory. The groups of a part are built into one subtree: suffixes in order,
-and the words that neighbours have in common. Its internal nodes LENGTH words deep are the repeats; a window is lost if a
-smaller id is below its node. Words are compared by 64-bit hashes, all LENGTH of them.
+and the edges that neighbours have in common. Its internal nodes LENGTH words deep are the repeats; a window is lost if a
+smaller id is below its node. An edge is EDGE words, labelled by a 64-bit hash of all of them: two windows would have to differ
+in one edge alone, and that collide, to be taken for equal.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ GRAM = 10
 CUT, PIECE_WINDOWS = 16, 1 << 13
 #: Bytes of pieces of a block; suffixes of a group that is not split further, and of a part.
 BLOCK_BYTES, GROUP, PART = 1 << 20, 1 << 15, 1 << 17
+#: Words of an edge.
+EDGE = 10
 #: Words of the prefixes, one after the other.
 DEPTHS = (1, 2, 4, 8, 16, 32, LENGTH)
 
@@ -99,7 +102,7 @@ def _prefix_counts(crowded: list[np.ndarray]):
 
 
 def _send(crowded: list[np.ndarray], n_parts: int):
-    """The suffixes to the parts of their groups, LENGTH words each, as codes into the words that a blob has."""
+    """The suffixes to the parts of their groups, as the labels of their edges down to LENGTH words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,31 +110,29 @@ def _send(crowded: list[np.ndarray], n_parts: int):
                 s = Suffixes(words, pieces)
                 part = (s.groups(crowded)[0] % np.uint64(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                every, code = np.unique(s.words, return_inverse=True)
+                label = gram_hashes(s.words, EDGE)
                 for own in np.split(order, run_starts(part[order])[1:]) if len(order) else []:
-                    rows = code[s.at[own, None] + np.arange(LENGTH)]
-                    used = np.zeros(len(every), bool)
-                    used[rows] = True
-                    distinct = every[used]
-                    flat = (np.cumsum(used) - 1)[rows].T.astype("<u4").ravel().view("<u8" if len(own) * LENGTH % 2 == 0 else "<u4").astype("<u8")
-                    yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])]), pa.array([pack(distinct)], pa.binary()), pa.array([pack(flat)], pa.binary()), pa.array([pack(s.sid[s.piece[own]], s.least[s.piece[own]], s.nth[own].astype(np.uint64))], pa.binary())], ["part", "distinct", "codes", "suffixes"])
+                    edges = [label[s.at[own] + k] for k in range(0, LENGTH, EDGE)]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])]), pa.array([pack(*edges)], pa.binary()), pa.array([pack(s.sid[s.piece[own]], s.least[s.piece[own]], s.nth[own].astype(np.uint64))], pa.binary())], ["part", "edges", "suffixes"])
 
     return run
 
 
-def subtree(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the suffixes, words that each has in common with the one before, 0 for the first) of rows of word numbers."""
-    text = np.ascontiguousarray(rows.astype(">u4")).view(f"V{4 * rows.shape[1]}").ravel()
-    order = np.argsort(text, kind="stable")
-    same = rows[order[1:]] == rows[order[:-1]]
-    common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
-    return order, np.concatenate([[0], common])
+def subtree(edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the suffixes, edges that each has in common with the one before, 0 for the first), from one column for each
+    edge."""
+    order = np.lexsort(edges[::-1])
+    common, alike = np.zeros(len(order), np.int64), np.ones(max(0, len(order) - 1), bool)
+    for label in edges:
+        alike &= label[order[1:]] == label[order[:-1]]
+        common[1:] += alike
+    return order, common
 
 
-def repeated_windows(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Which suffixes have a smaller id below their node of depth LENGTH, the whole row."""
-    order, common = subtree(rows)
-    node = np.flatnonzero(common < rows.shape[1])  # a node's first suffix parts from the one before above that depth
+def repeated_windows(edges: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+    """Which suffixes have a smaller id below their node of depth LENGTH, all edges down."""
+    order, common = subtree(edges)
+    node = np.flatnonzero(common < len(edges))  # a node's first suffix parts from the one before above that depth
     smallest = np.minimum.reduceat(least[order], node)
     out = np.empty(len(order), bool)
     out[order] = least[order] > np.repeat(smallest, np.diff(np.append(node, len(order))))
@@ -141,16 +142,10 @@ def repeated_windows(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """sid, spans of the windows that are lost, touching ones of a part as one."""
 
-    def built(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
-        words, codes, suffixes = ([unpack(x) for x in column] for column in zip(*held, strict=True))
-        known = np.unique(np.concatenate([w[0] for w in words]))
-        rows = []
-        for w, c, x in zip(words, codes, suffixes, strict=True):
-            n = len(x[0])
-            own = c[0].view("<u4") if n * LENGTH % 2 == 0 else c[0].astype("<u4")
-            rows.append(np.searchsorted(known, w[0]).astype(np.uint32)[own.reshape(LENGTH, n).T])
-        sid, least, nth = (np.concatenate([x[k] for x in suffixes]).view(np.int64) for k in range(3))
-        hit = np.flatnonzero(repeated_windows(np.concatenate(rows), least))
+    def built(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch | None:
+        edges, suffixes = ([np.concatenate(x) for x in zip(*map(unpack, column), strict=True)] for column in zip(*held, strict=True))
+        sid, least, nth = (x.view(np.int64) for x in suffixes)
+        hit = np.flatnonzero(repeated_windows(edges, least))
         if not len(hit):
             return None
         hit = hit[np.lexsort((nth[hit], sid[hit]))]
@@ -164,7 +159,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     part, held = None, []
     for batch in batches:
-        for p, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "distinct", "codes", "suffixes")), strict=True):
+        for p, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "edges", "suffixes")), strict=True):
             if p != part and held:
                 if got := built(held):
                     yield got
@@ -190,7 +185,7 @@ def smaller_windows(pieces: DataFrame) -> DataFrame:
             break
         crowded.append(many)
     n_parts = max(1, -(-n // PART))
-    sent = blocks.select("words", "pieces").mapInArrow(_send(crowded, n_parts), "part long, distinct binary, codes binary, suffixes binary")
+    sent = blocks.select("words", "pieces").mapInArrow(_send(crowded, n_parts), "part long, edges binary, suffixes binary")
     found = sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_trees, "sid long, spans array<long>")
     return found.groupBy("sid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
