@@ -207,3 +207,24 @@ def test_token_files(small, spark, tmp_path, monkeypatch):
         import io
 
         list(records.unframe(io.BytesIO(bytes(data))))
+
+
+def test_answers_of_a_part_are_packed_by_home():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.repeats import pack
+
+    rng = np.random.default_rng(4)
+    labels = [rng.integers(1, 1 << 60, 40).astype(np.uint64) for _ in range(5)]
+    sid, nth = np.repeat(np.arange(40, dtype=np.uint64), 40), np.tile(np.arange(0, 4000, 100, dtype=np.uint64), 40)
+    rows = [([1], pack(*(np.tile(x, 40) for x in labels)), pack(sid, sid + np.uint64(7), nth)), ([2], pack(*labels), pack(sid[:40] + np.uint64(5), nth[:40] * 0 + np.uint64(3), nth[:40] + np.uint64(10)))]
+    rows += [([2], pack(*labels), pack(sid[:40] + np.uint64(6), nth[:40] * 0 + np.uint64(9), nth[:40] + np.uint64(10)))]
+    sent = [pa.RecordBatch.from_arrays([pa.array(p), pa.array([e], pa.binary()), pa.array([s], pa.binary())], ["part", "edges", "suffixes"]) for p, e, s in rows]
+    got = list(suffix_trees._trees(3)(iter(sent)))
+    assert [b.num_rows for b in got] == [3, 1]  # a row for each home, not one for each of 39 pieces
+    by_home = pa.Table.from_batches(got).sort_by("home").to_batches()
+    found = dict(zip(*(pa.Table.from_batches(list(suffix_trees._gathered(iter(by_home)))).column(c).to_pylist() for c in ("sid", "spans")), strict=True))
+    assert sorted(found) == list(range(1, 40))
+    alone = [(a << 32) | (a + 50) for a in range(0, 4000, 100)]
+    assert found[1] == alone and found[6] == [(a << 32) | (a + 60) for a in range(0, 4000, 100)]  # spans of two parts meet

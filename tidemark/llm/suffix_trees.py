@@ -27,6 +27,8 @@ GRAM = 10
 CUT, PIECE_WINDOWS = 16, 1 << 13
 #: Bytes of pieces of a block; suffixes of a group that is not split further, and of a part.
 BLOCK_BYTES, GROUP, PART = 1 << 20, 1 << 15, 1 << 17
+#: Groups of pieces at most, to which the parts' answers go, packed; each holds that share of all spans that are lost.
+HOMES = 256
 #: Words of an edge.
 EDGE = 10
 #: Words of the prefixes, one after the other.
@@ -139,35 +141,59 @@ def repeated_windows(edges: list[np.ndarray], least: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid, spans of the windows that are lost, touching ones of a part as one."""
-
-    def built(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch | None:
-        edges, suffixes = ([np.concatenate(x) for x in zip(*map(unpack, column), strict=True)] for column in zip(*held, strict=True))
-        sid, least, nth = (x.view(np.int64) for x in suffixes)
-        hit = np.flatnonzero(repeated_windows(edges, least))
-        if not len(hit):
-            return None
-        hit = hit[np.lexsort((nth[hit], sid[hit]))]
-        sid, nth = sid[hit], nth[hit]
-        first = np.ones(len(hit), bool)
-        first[1:] = (np.diff(nth) > LENGTH) | (np.diff(sid) != 0)
-        i = np.flatnonzero(first)
-        spans = (nth[i] << 32) | (nth[np.append(i[1:], len(hit)) - 1] + LENGTH)
-        new = run_starts(sid[i])
-        return pa.RecordBatch.from_arrays([pa.array(sid[i][new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(i)).astype(np.int32)), pa.array(spans))], ["sid", "spans"])
-
-    part, held = None, []
+def _by_key(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple[bytes, ...]]]]:
+    """Rows sorted by a key as (key, all its rows' blobs)."""
+    at, held = None, []
     for batch in batches:
-        for p, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "edges", "suffixes")), strict=True):
-            if p != part and held:
-                if got := built(held):
-                    yield got
+        for k, *blobs in zip(*(batch.column(c).to_pylist() for c in (key, *columns)), strict=True):
+            if k != at and held:
+                yield at, held
                 held = []
-            part = p
+            at = k
             held.append(tuple(blobs))
-    if held and (got := built(held)):
-        yield got
+    if held:
+        yield at, held
+
+
+def _trees(n_homes: int):
+    """The windows that are lost, touching ones of a part as one span: of each part a row for each home of pieces, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_key(batches, "part", ("edges", "suffixes")):
+            edges, suffixes = ([np.concatenate(x) for x in zip(*map(unpack, column), strict=True)] for column in zip(*held, strict=True))
+            sid, least, nth = (x.view(np.int64) for x in suffixes)
+            hit = np.flatnonzero(repeated_windows(edges, least))
+            if not len(hit):
+                continue
+            hit = hit[np.lexsort((nth[hit], sid[hit], sid[hit] % n_homes))]
+            sid, nth = sid[hit], nth[hit]
+            first = np.ones(len(hit), bool)
+            first[1:] = (np.diff(nth) > LENGTH) | (np.diff(sid) != 0)
+            i = np.flatnonzero(first)
+            sid, spans = sid[i], (nth[i] << 32) | (nth[np.append(i[1:], len(hit)) - 1] + LENGTH)
+            new = run_starts(sid % n_homes)
+            blobs = [pack(sid[a:b].view(np.uint64), spans[a:b].view(np.uint64)) for a, b in zip(new, np.append(new[1:], len(sid)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[new] % n_homes), pa.array(blobs, pa.binary())], ["home", "lost"])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid, spans: what all parts say of a home's pieces, touching spans of a piece as one."""
+    for _, held in _by_key(batches, "home", ("lost",)):
+        sid, spans = (np.concatenate(x).view(np.int64) for x in zip(*(unpack(blob) for (blob,) in held), strict=True))
+        order = np.lexsort((spans, sid))
+        sid, spans = sid[order], spans[order]
+        begin, end = spans >> 32, spans & 0xFFFFFFFF
+        piece = run_starts(sid)
+        owner = np.repeat(np.arange(len(piece)), np.diff(np.append(piece, len(sid))))
+        reach = np.maximum.accumulate(end + (owner << 32)) & 0xFFFFFFFF
+        first = np.ones(len(sid), bool)
+        first[1:] = (begin[1:] > reach[:-1]) | (np.diff(sid) != 0)
+        i = np.flatnonzero(first)
+        whole = (begin[i] << 32) | reach[np.append(i[1:], len(sid)) - 1]
+        new = run_starts(sid[i])
+        yield pa.RecordBatch.from_arrays([pa.array(sid[i][new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(i)).astype(np.int32)), pa.array(whole))], ["sid", "spans"])
 
 
 def smaller_windows(pieces: DataFrame) -> DataFrame:
@@ -186,8 +212,9 @@ def smaller_windows(pieces: DataFrame) -> DataFrame:
         crowded.append(many)
     n_parts = max(1, -(-n // PART))
     sent = blocks.select("words", "pieces").mapInArrow(_send(crowded, n_parts), "part long, edges binary, suffixes binary")
-    found = sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_trees, "sid long, spans array<long>")
-    return found.groupBy("sid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    n_homes = min(n_parts, HOMES)
+    lost = sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_trees(n_homes), "home long, lost binary")
+    return lost.repartition(n_homes, "home").sortWithinPartitions("home").mapInArrow(_gathered, "sid long, spans array<long>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
