@@ -228,3 +228,28 @@ def test_answers_of_a_part_are_packed_by_home():
     assert sorted(found) == list(range(1, 40))
     alone = [(a << 32) | (a + 50) for a in range(0, 4000, 100)]
     assert found[1] == alone and found[6] == [(a << 32) | (a + 60) for a in range(0, 4000, 100)]  # spans of two parts meet
+
+
+def test_pairs_are_sorted_at_once(monkeypatch):
+    import numpy as np
+
+    rng, sorts, plain = np.random.default_rng(3), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or plain(*a, **b))
+    for tops, most in (((30, 30), 1), ((30, 30, 4), 1), ((1 << 63, 1 << 63, 1 << 63, 1 << 16), 5), ((1 << 40, 1 << 63), 3)):
+        columns = [rng.integers(0, top, 5000).astype(np.uint64) for top in tops]
+        columns[0] = columns[0] // np.uint64(7) * np.uint64(7)
+        sorts.clear()
+        order = prefix_doubling.order_of(columns)
+        assert len(sorts) <= most
+        keys = list(zip(*(c[order].tolist() for c in columns), strict=True))
+        assert keys == sorted(keys)
+
+
+def test_pairs_that_a_block_sends_twice(spark, small, monkeypatch):
+    """Windows that differ in their last bytes only, in blocks with few bits left for these."""
+    from tests.llm import brute
+
+    texts = [f"{head} lies the way of all that is{k % 40:02d}, and of what was there before it came to be so" for k in range(80) for head in ("here", "there" if k % 3 else "where")]
+    docs = spark.createDataFrame([(k, " ".join([t] * (1 + k % 2))) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(prefix_doubling, "bits", lambda n, plain=prefix_doubling.bits: 21 if n > 1000 and plain(n) < 21 else plain(n))
+    assert got(prefix_doubling.remove_repeated_bytes(docs)) == want(brute.repeated_bytes(rows_of(docs)))
