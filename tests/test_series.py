@@ -1,5 +1,6 @@
 """Loading, ranges, ordered functions, statistics, diagnostics."""
 
+import dataclasses
 import math
 from datetime import datetime, timedelta
 
@@ -198,6 +199,26 @@ def test_lttb():
     assert np.isfinite(lttb(x, gap, 8)[0]).all()
 
 
+def test_lttb_of_all_rows(spark, tmp_path):
+    """The same points as from all rows at once, with gaps and ties, and with rows left out."""
+    from tidemark.operators.downsample import lttb_of
+
+    rng = np.random.default_rng(5)
+    t, v = np.cumsum(rng.exponential(1, 30_000)) + 1.7e9, np.round(rng.gamma(2, 20, 30_000), 2)
+    v[rng.random(30_000) < 0.05] = np.nan
+    v[9000:13_000], v[20_000:24_000] = np.nan, 7.0
+    pq.write_table(pa.table({"t": t, "v": v}), tmp_path / "long.parquet", row_group_size=3000)
+    s = R.load_series(spark, str(tmp_path / "long.parquet"), "t", ["v"])
+    for n in (3, 12, 60):
+        for got, want in zip(lttb_of(s, "v", n), lttb(t, v, n), strict=True):
+            assert np.array_equal(got, want, equal_nan=True)
+    some = s.between(t[100], t[20_000])
+    holed = dataclasses.replace(some, df=some.df.where("_row % 7 != 3"))
+    own = np.array([k for k in range(100, 20_001) if k % 7 != 3])
+    assert np.array_equal(lttb_of(holed, "v", 40), lttb(t[own], v[own], 40), equal_nan=True)
+    assert len(lttb_of(s.rows(0, 4), "v", 12)[0]) == 4
+
+
 def test_helpers():
     assert normalize(np.array([1.0, 3.0]), 1, 5).tolist() == [0.0, 0.5] and normalize(np.array([1.0]), 2, 2).tolist() == [0.5]
     assert nice_ticks(0, 10) == [0, 2, 4, 6, 8, 10]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.stats import envelope
@@ -63,6 +64,86 @@ def drawn(series: Series, name: str, n_out: int, limit: int = ENVELOPE_ROWS) ->
     return lttb(got["_t"].to_numpy(), got["v"].to_numpy(), n_out)
 
 
+def _hull(pos: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points can make the largest triangle on some base: the corners of their convex hull, and the first in order."""
+    order = np.lexsort((pos, y, x))
+    order = order[np.append(True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))]
+    px, py = (x[order] - x[order[0]]).tolist(), (y[order] - y[order[0]]).tolist()
+    keep = {int(pos.argmin())}
+    for walk in (range(len(order)), range(len(order) - 1, -1, -1)):
+        side: list[int] = []
+        for k in walk:
+            while len(side) > 1 and (px[side[-1]] - px[side[-2]]) * (py[k] - py[side[-2]]) <= (py[side[-1]] - py[side[-2]]) * (px[k] - px[side[-2]]):
+                side.pop()
+            side.append(k)
+        keep.update(order[side].tolist())
+    return np.array(sorted(keep))
+
+
+def _corners(cuts: np.ndarray):
+    """Of each bucket of positions that a partition has: its first point, the corners of its finite ones, their sums and number."""
+
+    def run(batches):
+        held: dict[int, tuple[np.ndarray, ...]] = {}
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            pos, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "t", "v"))
+            of = np.searchsorted(cuts, pos, "right") - 1
+            for k in np.unique(of).tolist():
+                p, a, b = pos[of == k], x[of == k], y[of == k]
+                ok = np.isfinite(a) & np.isfinite(b)
+                sums[k] = sums.get(k, np.zeros(3)) + np.array([a[ok].sum(), b[ok].sum(), ok.sum()])
+                p, a, b = (np.concatenate(c) for c in zip(held[k], (p, a, b), strict=True)) if k in held else (p, a, b)
+                ok = np.flatnonzero(np.isfinite(a) & np.isfinite(b))
+                at = np.union1d([p.argmin()], ok[_hull(p[ok], a[ok], b[ok])] if len(ok) else ok).astype(np.int64)
+                held[k] = (p[at], a[at], b[at])
+        for k, (p, a, b) in held.items():
+            total = np.zeros((3, len(p)))
+            total[:, 0] = sums[k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), k)), *map(pa.array, (p, a, b, *total))], ["bucket", "pos", "t", "v", "st", "sv", "n"])
+
+    return run
+
+
+def lttb_of(series: Series, name: str, n_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """LTTB over all rows of a signal, however many, see ``lttb``.
+
+    A triangle's area is linear in its third point, so a corner of its bucket's convex hull makes the largest one: only corners
+    and sums come to the driver, a few dozen for each bucket and partition. Of points on one side of a hull only the ends count.
+    """
+    n_out = max(3, n_out)
+    rows = series.df.select("_row", F.col("_t").alias("t"), F.col(f"`{name}`").alias("v"))
+    lo, hi, n = rows.agg(F.min("_row"), F.max("_row"), F.count(F.lit(1))).first()
+    if n <= n_out:
+        got = rows.toPandas().sort_values("_row")
+        return got["t"].to_numpy(), got["v"].to_numpy()
+    if hi - lo + 1 == n:
+        placed = rows.withColumn("pos", F.col("_row") - lo)
+    else:  # rows are missing: places are counted by blocks
+        block = F.floor(F.col("_row") / (1 << 20))
+        blocks = rows.groupBy(block.alias("b")).count()
+        before = F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+        inside = F.row_number().over(Window.partitionBy("b").orderBy("_row"))
+        placed = rows.withColumn("b", block).join(F.broadcast(blocks.select("b", F.coalesce(before, F.lit(0)).alias("base"))), "b").withColumn("pos", F.col("base") + inside - 1)
+    cuts = np.concatenate([[0], np.linspace(1, n - 1, n_out - 1).astype(np.int64)])
+    got = placed.select(F.col("pos").cast("long").alias("pos"), "t", "v").mapInArrow(_corners(cuts), "bucket long, pos long, t double, v double, st double, sv double, n double").toPandas().sort_values("pos")
+    held = {k: g for k, g in got.groupby("bucket")}
+    picked = [(held[0]["t"].iloc[0], held[0]["v"].iloc[0])]
+    for k in range(1, n_out - 1):
+        x, y = held[k]["t"].to_numpy(), held[k]["v"].to_numpy()
+        st, sv, m = (math.fsum(held[k + 1][c]) for c in ("st", "sv", "n"))
+        px, py = picked[-1]
+        if not (math.isfinite(px) and math.isfinite(py)):
+            px, py = x[0], 0.0
+        mx, my = (st / m, sv / m) if m else (px, py)
+        area = np.abs((px - mx) * (y - py) - (px - x) * (my - py))
+        area[~np.isfinite(area)] = -1.0
+        picked.append((x[area.argmax()], y[area.argmax()]))
+    picked.append((held[n_out - 1]["t"].iloc[0], held[n_out - 1]["v"].iloc[0]))
+    at = np.array(picked)
+    return at[:, 0], at[:, 1]
+
+
 def overview(series: Series, name: str, n_out: int, bucket_rows: int = 8192) -> DataFrame:
     """t, v of the navigator: the envelope, and the first and last row."""
     ends = series.df.agg(F.min_by(F.struct("_t", F.col(f"`{name}`").alias("v")), "_row").alias("a"), F.max_by(F.struct("_t", F.col(f"`{name}`").alias("v")), "_row").alias("b"))

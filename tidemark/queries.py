@@ -21,7 +21,7 @@ from tidemark.operators import histogram as H
 from tidemark.operators import stats as A
 from tidemark.operators import timeaxis as X
 from tidemark.operators import xy as C
-from tidemark.operators.downsample import drawn, envelope_points, format_interval, format_rate, overview
+from tidemark.operators.downsample import envelope_points, format_interval, format_rate, lttb_of, overview
 from tidemark.plans.derived import classify, dependency_order, effective_available
 from tidemark.plans.expression import Compiler, Registry, UserFunction, check_calls, expression_margin
 from tidemark.sources import series as R
@@ -683,7 +683,7 @@ SELECT round(t, 6) AS t, value AS v FROM pick UNION ALL SELECT round(t, 6), valu
 for _name, _n in (("draw_lttb", 60), ("draw_lttb_few", 12)):
 
     def _lttb(spark: SparkSession, sf_dir: str, n: int = _n) -> DataFrame:
-        x, y = drawn(events(spark, sf_dir), "value", n)
+        x, y = lttb_of(events(spark, sf_dir), "value", n)
         return rounded(spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "t double, v double"), "t")
 
     query(_lttb_sql(_n), _name)(_lttb)
