@@ -219,6 +219,15 @@ def test_lttb_of_all_rows(spark, tmp_path):
     assert len(lttb_of(s.rows(0, 4), "v", 12)[0]) == 4
 
 
+def test_drawing_reads_all_rows(spark, monkeypatch):
+    from tidemark.operators import downsample
+    from tidemark.queries import QUERIES
+
+    want = QUERIES["draw_lttb_few"](spark, DATA).collect()
+    monkeypatch.setattr(downsample.drawn, "__defaults__", (10,))  # beyond so few rows an envelope stands for the rows
+    assert QUERIES["draw_lttb_few"](spark, DATA).collect() == want
+
+
 def test_helpers():
     assert normalize(np.array([1.0, 3.0]), 1, 5).tolist() == [0.0, 0.5] and normalize(np.array([1.0]), 2, 2).tolist() == [0.5]
     assert nice_ticks(0, 10) == [0, 2, 4, 6, 8, 10]
