@@ -1,6 +1,9 @@
 """Operators with exact contracts against brute force: on awkward rows, on none, and on the small tables."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.llm import brute
@@ -39,6 +42,23 @@ def test_contamination_without_broadcasts(docs, benchmark, monkeypatch):
     assert got(decontamination.contamination(docs, benchmark)) == want(brute.contamination(rows_of(docs), items))
 
 
+def test_words_are_found_by_a_quick_pattern(spark):
+    plain = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    every = [chr(c) for c in (*range(0x3000), *range(0xFFF0, 0x10100), 0x1F600, 0x10FFFF)]
+    frame = spark.createDataFrame([("".join(every),), ("a".join(every),), (None,)], "text string")
+    quick = F.regexp_extract_all("text", F.lit(decontamination._RAW_WORDS), F.lit(0))
+    assert frame.where(~quick.eqNullSafe(F.regexp_extract_all("text", F.lit(plain), F.lit(0)))).count() == 0
+    long = spark.range(400, numPartitions=1).select(F.repeat(F.lit("some words of a text, "), 2000).alias("text")).cache()
+    long.count()
+
+    def seconds(pattern):
+        begin = time.perf_counter()
+        long.agg(F.sum(F.regexp_count("text", F.lit(pattern)))).collect()
+        return time.perf_counter() - begin
+
+    assert min(seconds(decontamination._RAW_WORDS) for _ in range(3)) < 0.7 * min(seconds(plain) for _ in range(3))
+
+
 def test_proximity(spark):
     texts = [(1, "red fox runs far over the red hill"), (2, "fox red"), (3, "red " + "x " * 20 + "fox")]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
