@@ -75,6 +75,18 @@ def test_repeats(docs, empty, small, operator, plain):
     assert got(operator(small)) == want(plain(rows_of(small)))
 
 
+def test_contents_of_pieces_are_neither_dealt_to_their_owners_nor_kept(small, monkeypatch):
+    from tidemark.llm import repeats
+
+    made, gone = {}, []
+    keep, drop = repeats.materialize, repeats.release
+    monkeypatch.setattr(repeats, "materialize", lambda df, name: made.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(repeats, "release", lambda *tables: (gone.extend(t.scratch for t in tables), drop(*tables)))
+    suffix_trees.remove_repeated_words(small.limit(300)).count()
+    assert "piece" not in made["placed"].columns
+    assert gone == [made["pieces"].scratch, made["distinct"].scratch]
+
+
 def test_repeats_in_many_parts(docs, small, monkeypatch):
     from tidemark.llm import repeats, words
 
