@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,24 @@ def test_pairs_that_a_block_sends_twice(spark, small, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join([t] * (1 + k % 2))) for k, t in enumerate(texts)], "doc_id long, text string")
     monkeypatch.setattr(prefix_doubling, "bits", lambda n, plain=prefix_doubling.bits: 21 if n > 1000 and plain(n) < 21 else plain(n))
     assert got(prefix_doubling.remove_repeated_bytes(docs)) == want(brute.repeated_bytes(rows_of(docs)))
+
+
+def test_parts_of_the_order_stay_small(spark, monkeypatch):
+    """Neither a very common beginning nor a very common rank makes a part larger than others."""
+    rng, most, parts = np.random.default_rng(3), 2000, []
+    text = "".join("z" * 40 + "".join(rng.choice(list("abcdefghij"), 10)) for _ in range(500))
+    pieces = spark.createDataFrame([(1, bytearray(text.encode()), 1), (2, bytearray(("y" + text).encode()), 2)], "sid long, piece binary, least long").repartition(1)
+    for name, value in {"BLOCK_BYTES": 4096, "PART_PAIRS": most}.items():
+        monkeypatch.setattr(prefix_doubling, name, value)
+
+    def noted(df, name, plain=prefix_doubling.materialize):
+        out = plain(df, name)
+        if name == "ranked":
+            rows = out.select("part", "got").collect()
+            parts.append(np.bincount([r[0] for r in rows], [len(prefix_doubling.unpack(r[1])[0]) for r in rows]))
+        return out
+
+    monkeypatch.setattr(prefix_doubling, "materialize", noted)
+    spans = {r[0]: r[1] for r in prefix_doubling.smaller_copies(pieces).collect()}
+    assert spans == {2: [1 << 32 | len(text) + 1]}
+    assert len(parts) == 2 and max(p.max() for p in parts) <= 2 * most
